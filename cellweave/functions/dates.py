@@ -51,6 +51,6 @@ def month_sequence(start: Column, end: Column) -> Column:
 def expand_months(df: DataFrame, start: str, end: str, out: str = "DATE") -> DataFrame:
     """One row per month of activity, counted from the start month."""
     n = duration_months(F.col(start), F.col(end))
-    return df.withColumn("_step", F.explode(F.sequence(F.lit(0), n - 1))).withColumn(
+    return df.withColumn("_step", F.explode_outer(F.sequence(F.lit(0), n - 1))).withColumn(
         out, F.add_months(F.col(start), F.col("_step"))
     ).drop("_step")

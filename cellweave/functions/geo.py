@@ -204,6 +204,8 @@ def clip_ring(ring: Column, convex: Column) -> Column:
         lambda a, b: F.struct(a.alias("a"), b.alias("b")),
     )
 
+    point_type = "array<struct<x:double,y:double>>"
+
     def side(p: Column, e: Column) -> Column:
         return (e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (
             p["x"] - e["a"]["x"]
@@ -218,8 +220,9 @@ def clip_ring(ring: Column, convex: Column) -> Column:
                 u["p"]["x"] + (v["p"]["x"] - u["p"]["x"]) * t, u["p"]["y"] + (v["p"]["y"] - u["p"]["y"]) * t
             )
             crossing = ((u["d"] >= 0) & (v["d"] < 0)) | ((u["d"] < 0) & (v["d"] >= 0))
-            head = F.when(crossing, F.array(hit)).otherwise(F.slice(F.array(hit), 1, 0))
-            tail = F.when(v["d"] >= 0, F.array(v["p"])).otherwise(F.slice(F.array(v["p"]), 1, 0))
+            none = F.array().cast(point_type)
+            head = F.when(crossing, F.array(hit)).otherwise(none)
+            tail = F.when(v["d"] >= 0, F.array(v["p"])).otherwise(none)
             return F.concat(head, tail)
 
         pairs = _let(
@@ -237,7 +240,6 @@ def clip_ring(ring: Column, convex: Column) -> Column:
             lambda out: F.when(F.size(out) > 0, F.concat(F.slice(out, -1, 1), out)).otherwise(out),
         )
 
-    point_type = "array<struct<x:double,y:double>>"
     return F.aggregate(edges, ring.cast(point_type), lambda cur, e: cut(cur, e).cast(point_type))
 
 

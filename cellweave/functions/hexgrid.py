@@ -99,14 +99,16 @@ def corner_offsets(res: int) -> list[complex]:
 def hex_ring(res: Column | int, q: Column, r: Column) -> Column:
     """Closed counter-clockwise boundary as array<struct<x,y>>."""
     cx, cy = hex_center(res, q, r)
-    points = [
-        F.struct(
-            (cx + _by_res(res, lambda k, j=j: corner_offsets(k)[j].real)).alias("x"),
-            (cy + _by_res(res, lambda k, j=j: corner_offsets(k)[j].imag)).alias("y"),
-        )
-        for j in (0, 1, 2, 3, 4, 5, 0)
-    ]
-    return F.array(*points)
+
+    def corners(k: int) -> Column:
+        offsets = corner_offsets(k)
+        return F.array(*[F.struct(F.lit(o.real).alias("x"), F.lit(o.imag).alias("y")) for o in (*offsets, offsets[0])])
+
+    if isinstance(res, int):
+        table = corners(res)
+    else:
+        table = F.element_at(F.array(*[corners(k) for k in range(MAX_RES + 1)]), res.cast("int") + 1)
+    return F.transform(table, lambda o: F.struct((cx + o["x"]).alias("x"), (cy + o["y"]).alias("y")))
 
 
 def hex_parent(res: Column | int, q: Column, r: Column) -> tuple[Column, Column]:

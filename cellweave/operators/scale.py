@@ -25,6 +25,15 @@ def parallelism(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def pinned(value: Column) -> Column:
+    """Evaluate a costly expression once per row.
+
+    The optimizer merges projections and would copy the expression into every later use; a generator over a
+    one-element list stops that without moving any data.
+    """
+    return F.explode_outer(F.array(value))
+
+
 def salted_join(
     big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int | None = None
 ) -> DataFrame:

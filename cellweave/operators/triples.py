@@ -28,7 +28,7 @@ def triple(s: Column, p: Column | str, o: Column) -> Column:
 def _emit(df: DataFrame, triples: Column, date: str | None = "date") -> DataFrame:
     """Explode an array of triples, keeping the date column when there is one."""
     keep = [F.col(date).alias("date")] if date else []
-    return df.select(F.explode(triples).alias("_t"), *keep).select("_t.*", *(["date"] if date else []))
+    return df.select(F.explode_outer(triples).alias("_t"), *keep).select("_t.*", *(["date"] if date else []))
 
 
 # -- normal forms -------------------------------------------------------------------------------------------
@@ -162,7 +162,8 @@ def slice_by_month(triples: DataFrame, start: str, end: str) -> DataFrame:
     return (
         triples.withColumn("_d", d)
         .withColumn("_m", F.when(F.col("_d").isNull(), wanted).otherwise(F.filter(wanted, lambda m: m == F.col("_d"))))
-        .withColumn("date", F.explode("_m"))
+        .withColumn("date", F.explode_outer("_m"))
+        .where("date IS NOT NULL")
         .drop("_d", "_m")
     )
 
