@@ -86,18 +86,18 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "rn") -> Da
     ranged = (
         df.repartitionByRange(parallelism(df), *order)
         .sortWithinPartitions(*order)
-        .withColumn("_pos", F.monotonically_increasing_id())
+        .withColumn("__pos", F.monotonically_increasing_id())
     )
     stored = cut_lineage(ranged)
-    part = F.shiftright("_pos", 33)
+    part = F.shiftright("__pos", 33)
     counts = sorted(tuple(r) for r in stored.groupBy(part.alias("p")).count().collect())
     starts = [0, *accumulate(n for _, n in counts)][: len(counts)]
     offset = F.lit(0).cast("bigint")
     if counts:
         lookup = F.create_map(*[F.lit(v) for (p, _), s in zip(counts, starts) for v in (p, s)])
         offset = F.element_at(lookup, part)
-    in_part = F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))
-    return stored.withColumn(out, offset + in_part + 1).drop("_pos")
+    in_part = F.col("__pos").bitwiseAND(F.lit((1 << 33) - 1))
+    return stored.withColumn(out, offset + in_part + 1).drop("__pos")
 
 
 def distinct_index(df: DataFrame, order: list[Column], out: str = "id") -> DataFrame:
@@ -115,21 +115,21 @@ def running_total(df: DataFrame, order: list[Column], cols: dict[str, str]) -> D
     ranged = (
         df.repartitionByRange(parallelism(df), *order)
         .sortWithinPartitions(*order)
-        .withColumn("_pos", F.monotonically_increasing_id())
+        .withColumn("__pos", F.monotonically_increasing_id())
     )
-    stored = cut_lineage(ranged).withColumn("_part", F.shiftright("_pos", 33))
+    stored = cut_lineage(ranged).withColumn("__part", F.shiftright("__pos", 33))
     sums = [F.sum(c).alias(o) for o, c in cols.items()]
-    totals = sorted((r["_part"], [r[o] for o in cols]) for r in stored.groupBy("_part").agg(*sums).collect())
-    window = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    totals = sorted((r["__part"], [r[o] for o in cols]) for r in stored.groupBy("__part").agg(*sums).collect())
+    window = Window.partitionBy("__part").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
     result = stored
     for i, (o, c) in enumerate(cols.items()):
         starts = [0, *accumulate(t[i] or 0 for _, t in totals)][: len(totals)]
         offset = F.lit(0)
         if totals:
             lookup = F.create_map(*[F.lit(v) for (p, _), s in zip(totals, starts) for v in (p, s)])
-            offset = F.element_at(lookup, F.col("_part"))
+            offset = F.element_at(lookup, F.col("__part"))
         result = result.withColumn(o, F.coalesce(F.sum(c).over(window), F.lit(0)) + offset)
-    return result.drop("_pos", "_part")
+    return result.drop("__pos", "__part")
 
 
 def exact_medians(df: DataFrame, cols: list[str], accuracy: int = 10_000) -> dict[str, float | None]:
