@@ -49,7 +49,7 @@ def salted_join(
 
 
 def with_block(df: DataFrame, keys: list[str], spread: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``block``: the rows of every key are split by hash into blocks of about ``block_rows``.
+    """Add ``block`` and ``blocks``: every key's rows are split by hash into blocks of about ``block_rows``.
 
     Counting combines on the map side, so a key with a third of all rows costs one counter per task.
     """
@@ -57,7 +57,7 @@ def with_block(df: DataFrame, keys: list[str], spread: list[str], block_rows: in
     return (
         salted_join(df, counts, keys, spread)
         .withColumn("block", F.pmod(F.xxhash64(*spread, F.lit("block")), F.col("_blocks")).cast("int"))
-        .drop("_blocks")
+        .withColumnRenamed("_blocks", "blocks")
     )
 
 
@@ -65,7 +65,9 @@ def in_blocks(
     df: DataFrame, keys: list[str], spread: list[str], item: Column, out: str = "items", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """One row per (keys, block) with the block's items as an array; blocks have a bounded expected size."""
-    return with_block(df, keys, spread, block_rows).groupBy(*keys, "block").agg(F.collect_list(item).alias(out))
+    return with_block(df, keys, spread, block_rows).groupBy(*keys, "blocks", "block").agg(
+        F.collect_list(item).alias(out)
+    )
 
 
 def replicate_over(blocks: DataFrame, shards: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.operators.scale import reduce_vectors
+from cellweave.operators.scale import parallelism, reduce_vectors
 
 # Spark ML keeps the whole vocabulary on the driver; beyond this many numbers the distributed trainer is used.
 ML_NUMBERS = 200_000_000
@@ -34,7 +34,7 @@ def train_walk_vectors(
     if vocab * dim <= ML_NUMBERS:
         from pyspark.ml.feature import Word2Vec
 
-        parts = max(1, min(corpus.rdd.getNumPartitions(), 8))
+        parts = min(parallelism(corpus), 8)
         model = Word2Vec(
             vectorSize=dim, minCount=0, maxIter=epochs, seed=seed, windowSize=window, numPartitions=parts, inputCol=col, outputCol="v"
         ).fit(corpus)
