@@ -1,0 +1,4 @@
+"""No streaming operators: the jobs rebuilt here are batch jobs.
+
+Monthly slices are appended by :func:`cellweave.sources.writers.append_triples`, which may be re-run safely.
+"""
