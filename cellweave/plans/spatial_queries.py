@@ -219,10 +219,11 @@ def _offset_sql(x: str, y: str) -> str:
     "topology_points",
     f"""WITH {grid_sql(TOPO_RES)}, {inputs.FEATURES_SQL},
     f AS (SELECT osm_id, date, lon, lat FROM features),
-    inside AS (SELECT cell_id, osm_id, date FROM f JOIN grid
-      ON abs(lon - clon) <= {num(_R)} AND abs(lat - clat) <= {num(_R)} AND {_offset_sql('lon', 'lat')} < 0)
-    SELECT cell_id AS subject, unnest(['{PREDICATES["intersects"]}', '{PREDICATES["contains"]}', '{PREDICATES["covers"]}']) AS predicate,
-      osm_id AS object, CAST(date AS VARCHAR) AS date FROM inside""",
+    near AS (SELECT cell_id, osm_id, date, {_offset_sql('lon', 'lat')} AS off FROM f JOIN grid
+      ON abs(lon - clon) <= {num(_R + 1e-9)} AND abs(lat - clat) <= {num(_R + 1e-9)})
+    SELECT cell_id AS subject, unnest(CASE WHEN off < -1e-9 THEN ['{PREDICATES["intersects"]}', '{PREDICATES["contains"]}', '{PREDICATES["covers"]}']
+      ELSE ['{PREDICATES["intersects"]}', '{PREDICATES["touches"]}', '{PREDICATES["covers"]}'] END) AS predicate,
+      osm_id AS object, CAST(date AS VARCHAR) AS date FROM near WHERE off <= 1e-9""",
 )
 def topology_points(spark, sf):
     out = spatial.topology_triples(inputs.customer_features(spark, sf), customer_grid(spark, sf, TOPO_RES))
@@ -313,11 +314,14 @@ def relation_edges(spark, sf):
 
 @query(
     "multipart_relations",
-    f"""WITH {inputs.CUSTOMER_POINTS_SQL}, {hex_sql('customer_points', TOPO_RES, 'hexed')},
-    h AS (SELECT c_nationkey, {id_sql(TOPO_RES)} AS cell_id, count(*) AS k FROM hexed JOIN customer ON osm_id = c_custkey GROUP BY 1, 2),
-    t AS (SELECT *, sum(k) OVER (PARTITION BY c_nationkey) AS n FROM h)
-    SELECT cell_id, c_nationkey, unnest(CASE WHEN k = n THEN ['{PREDICATES["intersects"]}', '{PREDICATES["contains"]}', '{PREDICATES["covers"]}']
-      ELSE ['{PREDICATES["intersects"]}', '{PREDICATES["crosses"]}'] END) AS relation FROM t""",
+    f"""WITH {grid_sql(TOPO_RES)},
+    near AS (SELECT cell_id, c_nationkey, {_offset_sql('lon', 'lat')} AS off FROM customer_points JOIN customer ON osm_id = c_custkey
+      JOIN grid ON abs(lon - clon) <= {num(_R + 1e-9)} AND abs(lat - clat) <= {num(_R + 1e-9)}),
+    h AS (SELECT cell_id, c_nationkey, count(*) AS met, count(*) FILTER (off < -1e-9) AS inner_ FROM near WHERE off <= 1e-9 GROUP BY 1, 2),
+    t AS (SELECT h.*, n FROM h JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) USING (c_nationkey))
+    SELECT cell_id, c_nationkey, unnest(list_filter(['{PREDICATES["intersects"]}',
+      CASE WHEN met = n AND inner_ > 0 THEN '{PREDICATES["contains"]}' END, CASE WHEN met < n AND inner_ > 0 THEN '{PREDICATES["crosses"]}' END,
+      CASE WHEN inner_ = 0 THEN '{PREDICATES["touches"]}' END, CASE WHEN met = n THEN '{PREDICATES["covers"]}' END], lambda v: v IS NOT NULL)) AS relation FROM t""",
 )
 def multipart_relations(spark, sf):
     """Each nation as a multi-point of its customers."""
