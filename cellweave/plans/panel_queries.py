@@ -374,9 +374,10 @@ def ontology_triples(spark, sf):
         F.col("p_partkey").alias("osm_id"), inputs.lon_of(F.col("p_partkey")).alias("lon"), inputs.lat_of(F.col("p_partkey")).alias("lat"), tags.alias("all_tags")
     )
     onto = p.where(F.col("p_type").isin("PROMO", "LARGE")).select(
-        F.lit("kind").alias("key"), F.col("p_type").alias("value"), F.concat(F.lit("Class"), "p_type").alias("appendedClass")
+        F.when(F.col("p_partkey") >= 0, F.lit("kind")).otherwise(F.col("p_brand")).alias("key"),
+        F.col("p_type").alias("value"), F.concat(F.lit("Class"), "p_type").alias("appendedClass"),
     )
-    keys = p.select(F.lit("addr:house_name").alias("key"))
+    keys = p.select(F.when(F.col("p_partkey") >= 0, F.lit("addr:house_name")).otherwise(F.col("p_brand")).alias("key"))
     return ontology.ontology_triples(feats, onto, keys)
 
 
