@@ -79,6 +79,13 @@ def shard_of(spread: list[str], shards: int) -> Column:
     return F.pmod(F.xxhash64(*spread, F.lit("shard")), F.lit(shards)).cast("int")
 
 
+def _offset_of(part: Column, totals: dict[int, float]) -> Column:
+    """Sum of the totals of all earlier partitions, looked up by index in one constant array."""
+    ordered = [totals.get(p, 0) for p in range(max(totals, default=-1) + 1)]
+    starts = [0, *accumulate(ordered)][: len(ordered)]
+    return F.get(F.lit(starts), part.cast("int")) if starts else F.lit(0).cast("bigint")
+
+
 def global_row_number(df: DataFrame, order: list[Column], out: str = "rn") -> DataFrame:
     """Exact 1-based rank of every row in a total order, without a single-partition window.
 
@@ -92,12 +99,7 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "rn") -> Da
     )
     stored = cut_lineage(ranged)
     part = F.shiftright("__pos", 33)
-    counts = sorted(tuple(r) for r in stored.groupBy(part.alias("p")).count().collect())
-    starts = [0, *accumulate(n for _, n in counts)][: len(counts)]
-    offset = F.lit(0).cast("bigint")
-    if counts:
-        lookup = F.create_map(*[F.lit(v) for (p, _), s in zip(counts, starts) for v in (p, s)])
-        offset = F.element_at(lookup, part)
+    offset = _offset_of(part, dict(tuple(r) for r in stored.groupBy(part.alias("p")).count().collect()))
     in_part = F.col("__pos").bitwiseAND(F.lit((1 << 33) - 1))
     return stored.withColumn(out, offset + in_part + 1).drop("__pos")
 
@@ -125,11 +127,7 @@ def running_total(df: DataFrame, order: list[Column], cols: dict[str, str]) -> D
     window = Window.partitionBy("__part").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
     result = stored
     for i, (o, c) in enumerate(cols.items()):
-        starts = [0, *accumulate(t[i] or 0 for _, t in totals)][: len(totals)]
-        offset = F.lit(0)
-        if totals:
-            lookup = F.create_map(*[F.lit(v) for (p, _), s in zip(totals, starts) for v in (p, s)])
-            offset = F.element_at(lookup, F.col("__part"))
+        offset = _offset_of(F.col("__part"), {p: t[i] or 0 for p, t in totals})
         result = result.withColumn(o, F.coalesce(F.sum(c).over(window), F.lit(0)) + offset)
     return result.drop("__pos", "__part")
 
