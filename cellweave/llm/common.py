@@ -68,3 +68,19 @@ def prefix_before(
         .withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .drop("_range", "_start")
     )
+
+
+def count_not_above(ordered: Column, value: Column) -> Column:
+    """How many entries of an ascending array are not above ``value``, by bisection."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered) + F.lit(1.0))).cast("int"))
+    start = F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        open_ = s["lo"] < s["hi"]
+        right = open_ & F.coalesce(F.get(ordered, mid) <= value, F.lit(False))
+        return F.struct(
+            F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~right, mid).otherwise(s["hi"]).alias("hi")
+        )
+
+    return F.aggregate(steps, start, halve)["lo"]
