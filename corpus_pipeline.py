@@ -1,19 +1,53 @@
-"""From raw documents to packed token sequences: the stages of the corpus pipeline."""
+"""From raw documents to packed token sequences: the stages of the corpus pipeline.
+
+Every stage is a function of (spark, docs, sf_dir); all but the last return the columns of ``documents``. A stage judges
+all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cellweave.llm.mixing import mixed_documents
+from cellweave.llm.packing import pack_documents, tokenizer_path
 from cellweave.llm.quality import quality_rules
+from cellweave.llm.simhash import drop_near_duplicates
+from cellweave.llm.toxicity import drop_toxic
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the clause grammar does not call toxic; its weights come from the labelled rows."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
     return quality_rules(docs)
 
 
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near-duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources at their target weights; a document comes once for every epoch that takes it."""
+    return mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and offset."""
+    return pack_documents(docs, tokenizer_path())
+
+
 STAGES = [
-    ("quality rules", drop_low_quality),
+    ("toxicity", keep_clean),
+    ("quality rules", keep_good),
+    ("simhash near-duplicates", keep_one_of_each_group),
+    ("source mix", mix),
+    ("best-fit packing", pack),
 ]
+#: Learned weights, hashes and tokenizers are not expressible in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
