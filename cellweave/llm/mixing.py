@@ -84,7 +84,9 @@ def mix_sources(
     )
 
 
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", n_chars: str = "n_chars"
+) -> DataFrame:
     """The documents of the mix with their columns: one row per whole time taken, and one row cut to the words left.
 
     At most one document of each source is cut.

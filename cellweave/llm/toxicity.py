@@ -189,7 +189,7 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-DEFAULT = Model({w[: STEM[-1]]: 4.0 for w in INSULTS}, (1.0, 1.2, 1.0, 0.3, 0.0, 0.0), -3.0)
+DEFAULT = Model({w[: STEM[-1]]: 4.0 for w in INSULTS}, (4.0, 6.0, 6.0, 0.5, 0.0, 2.0), -3.5)
 
 
 def _scaled(x: list[float]) -> list[float]:
@@ -304,9 +304,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_DOCS) -> Model:
     """Stems and weights from the labelled training rows."""
     sample = training_sample(docs.select("doc_id", text_of("text").alias("text")), labels, rows)
-    stems = learn_stems(sample)
-    if not stems:
+    learned = learn_stems(sample)
+    if not learned:
         return DEFAULT
+    # the fixed words stay known where the labelled texts hold too few of them to learn from
+    stems = {s: w for s, w in DEFAULT.stems.items() if not any(s.startswith(k) for k in learned)} | learned
     measured = sample.mapInArrow(partial(_features, stems=stems), "x array<double>, toxic int").collect()  # bounded by ``rows``
     measured.sort(key=lambda r: (r.toxic, r.x))
     x = np.array([_scaled(r.x) for r in measured])

@@ -99,7 +99,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: st
     filed = cut_lineage(file_rules(sites, rules))
     candidates = sites.select("site", F.explode(url_tokens(F.col("site"))).alias("token")).join(filed, "token")
     matched = candidates.where(F.expr("site RLIKE pattern"))
-    best = F.max_by(F.struct("rule", "verdict"), F.struct("rank", F.char_length("rule"), F.expr("reverse(rule)")))
+    best = F.min_by(F.struct("rule", "verdict"), F.struct(-F.col("rank"), -F.char_length("rule"), "rule"))
     decided = matched.groupBy("site").agg(best.alias("best"))
     judged = rows.withColumn("site", F.concat("host", "path")).join(decided, "site", "left")
     return judged.select(
