@@ -13,6 +13,7 @@ from cellweave.llm.packing import pack_documents, tokenizer_path
 from cellweave.llm.quality import quality_rules
 from cellweave.llm.simhash import drop_near_duplicates
 from cellweave.llm.toxicity import drop_toxic
+from cellweave.session import cut_lineage
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; each result but the last is stored as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut_lineage(docs)
     return docs
