@@ -56,8 +56,8 @@ def ring_signed_area(ring: Column) -> Column:
 
 
 def area(geom: Column) -> Column:
-    """Planar area of a polygon: shell minus holes; zero for points and lines."""
-    shell = F.abs(ring_signed_area(F.element_at(geom["rings"], 1)))
+    """Planar area of a polygon: shell minus holes; zero for points, lines and polygons without a ring."""
+    shell = F.coalesce(F.abs(ring_signed_area(F.get(geom["rings"], F.lit(0)))), F.lit(0.0))
     holes = F.aggregate(
         F.slice(geom["rings"], F.lit(2), F.greatest(F.size(geom["rings"]) - 1, F.lit(0))),
         F.lit(0.0),

@@ -1,8 +1,8 @@
 """Topological relations between a convex grid cell and a point, line or polygon.
 
-The cell is always convex, so every relation follows from two measures: how each segment of the other
-geometry runs through the cell, and the area of the other geometry clipped to the cell. All directions are
-cell -> feature. Signed distances within ``TOLERANCE`` of zero count as zero.
+The cell is always convex, so every relation follows from how each segment of the other geometry runs through
+the cell; an area clipped to the cell only tells whether a cell that no boundary enters lies in the feature or
+outside it. All directions are cell -> feature. Signed distances within ``TOLERANCE`` of zero count as zero.
 """
 
 from __future__ import annotations
@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cellweave.functions.geo import _let, area, clip_ring, ring_signed_area
+from cellweave.functions.geo import _let, clip_ring, ring_signed_area
 
 TOLERANCE = 1e-12
-AREA_TOLERANCE = 1e-9
 
 # Predicate names of the nine relations.
 PREDICATES = {
@@ -98,37 +97,43 @@ def _line_flags(cell: Column, runs: Column) -> dict[str, Column]:
 
 
 def _polygon_flags(m: Column) -> dict[str, Column]:
-    """Relations from the measured areas: cell, feature, common part, and any boundary contact."""
-    eps = m["cell"] * AREA_TOLERANCE
-    meet = m["common"] > eps
-    feature_inside = meet & (F.abs(m["common"] - m["feature"]) <= eps)
-    cell_inside = meet & (F.abs(m["common"] - m["cell"]) <= eps)
+    """Relations from the course of the boundary; no area is compared with a tolerance.
+
+    If no boundary runs through the open cell, the cell lies wholly in the feature or outside it, and the common area
+    is all of the cell or nothing. The feature lies in the cell if no part of its outer ring is outside.
+    """
+    cell_in = ~m["interior"] & (m["common"] > m["cell"] / 2)
+    meet = m["interior"] | cell_in
+    feature_in = meet & ~m["outside"]
     return {
         "intersects": meet | m["contact"],
-        "contains": feature_inside,
-        "equals": feature_inside & cell_inside,
-        "overlaps": meet & ~feature_inside & ~cell_inside,
+        "contains": feature_in,
+        "equals": feature_in & cell_in,
+        "overlaps": meet & ~feature_in & ~cell_in,
         "touches": m["contact"] & ~meet,
-        "within": cell_inside,
-        "covers": feature_inside,
-        "coveredBy": cell_inside,
+        "within": cell_in,
+        "covers": feature_in,
+        "coveredBy": cell_in,
     }
 
 
 def _measure(cell: Column, geom: Column) -> Column:
-    clipped = F.transform(geom["rings"], lambda r: F.abs(ring_signed_area(clip_ring(r, cell))))
-    common = F.aggregate(
-        F.slice(clipped, F.lit(2), F.greatest(F.size(clipped) - 1, F.lit(0))),
-        F.element_at(clipped, 1),
-        lambda s, hole: s - hole,
-    )
-    contact = F.exists(geom["rings"], lambda r: F.exists(_edges(r), lambda seg: _segment_run(cell, seg)["hit"]))
-    return F.struct(
-        F.abs(ring_signed_area(cell)).alias("cell"),
-        area(geom).alias("feature"),
-        common.alias("common"),
-        contact.alias("contact"),
-    )
+    def common(rings: Column) -> Column:
+        clipped = F.transform(rings, lambda r: F.abs(ring_signed_area(clip_ring(r, cell))))
+        holes = F.slice(clipped, F.lit(2), F.greatest(F.size(clipped) - 1, F.lit(0)))
+        return F.aggregate(holes, F.element_at(clipped, 1), lambda s, hole: s - hole)
+
+    def measured(runs: Column) -> Column:
+        interior = F.exists(runs, lambda ring: F.exists(ring, lambda s: s["interior"]))
+        return F.struct(
+            F.abs(ring_signed_area(cell)).alias("cell"),
+            F.when(interior, F.lit(0.0)).otherwise(common(geom["rings"])).alias("common"),
+            interior.alias("interior"),
+            F.exists(F.element_at(runs, 1), lambda s: s["outside"]).alias("outside"),
+            F.exists(runs, lambda ring: F.exists(ring, lambda s: s["hit"])).alias("contact"),
+        )
+
+    return _let(F.transform(geom["rings"], lambda r: F.transform(_edges(r), lambda seg: _segment_run(cell, seg))), measured)
 
 
 def _names(flags: dict[str, Column], names: dict[str, str]) -> Column:

@@ -264,6 +264,25 @@ def topology_polygons(spark, sf):
     return spatial.topology(pairs).select(F.col("cell_id").alias("from"), F.col("n_name").alias("to"), "relation")
 
 
+_MINI_SQL = f"""boxes AS (SELECT *, cx - half AS x0, cx + half AS x1, cy - half AS y0, cy + half AS y1
+  FROM (SELECT c_custkey AS n_name, {inputs.lon_sql('c_custkey')} AS cx, {inputs.lat_sql('c_custkey')} AS cy,
+        {num(0.0002)} * pow(4e0, c_custkey % 9) AS half FROM customer))"""
+
+
+@query(
+    "topology_small_polygons",
+    f"""WITH {_MINI_SQL}, {grid_sql(TOPO_RES)}, {_box_relations_sql()}
+    SELECT cell_id AS "from", n_name AS "to", unnest(names) AS relation FROM rel""",
+)
+def topology_small_polygons(spark, sf):
+    """Boxes from the size of a building to that of a country against one grid."""
+    c = inputs.customer_points(spark, sf)
+    half = F.lit(0.0002) * F.pow(F.lit(4.0), (F.col("osm_id") % 9).cast("double"))
+    ring = geo.box(F.col("lon") - half, F.col("lat") - half, F.col("lon") + half, F.col("lat") + half)
+    pairs = spatial.spatial_candidates(c.select("osm_id", ring.alias("geom")), customer_grid(spark, sf, TOPO_RES))
+    return spatial.topology(pairs).select(F.col("cell_id").alias("from"), F.col("osm_id").alias("to"), "relation")
+
+
 def _line_sql() -> str:
     """Clip every segment to the six half planes by its parameter interval."""
     def d(x, y, n):
@@ -391,13 +410,16 @@ def valid_geometries(spark, sf):
 
 @query(
     "clip_polygons",
-    f"""WITH {inputs.BOXES_SQL} SELECT a.n_nationkey AS a, b.n_nationkey AS b,
+    f"""WITH {inputs.BOXES_SQL}, wide AS (SELECT n_nationkey, cx - 8 * half AS x0, cx + 8 * half AS x1, cy - 8 * half AS y0, cy + 8 * half AS y1 FROM boxes)
+    SELECT a.n_nationkey AS a, b.n_nationkey AS b,
       round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS area
-    FROM boxes a JOIN boxes b ON a.n_nationkey < b.n_nationkey AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""",
+    FROM wide a JOIN wide b ON a.n_nationkey < b.n_nationkey AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""",
 )
 def clip_polygons(spark, sf):
-    """Common area of overlapping boxes, found by the tile join with boxes on both sides."""
-    b = inputs.nation_boxes(spark, sf).select("n_nationkey", "geom")
+    """Common area of overlapping wide boxes, found by the tile join with boxes on both sides."""
+    w = 8 * F.col("half")
+    wide = geo.box(F.col("cx") - w, F.col("cy") - w, F.col("cx") + w, F.col("cy") + w)
+    b = inputs.nation_boxes(spark, sf).select("n_nationkey", wide.alias("geom"))
     pairs = spatial.spatial_candidates(b, b.select(F.col("n_nationkey").alias("cell_id"), "geom")).where("n_nationkey < cell_id")
     both = geo.clip(F.col("geom"), F.element_at(F.col("cell_geom.rings"), 1))
     out = pairs.select(F.col("n_nationkey").alias("a"), F.col("cell_id").alias("b"), F.round(geo.area(both), 6).alias("area"))

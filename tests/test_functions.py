@@ -99,6 +99,10 @@ CASES = [
     ("Polygon", [[(4, 0), (8, 0), (8, 4), (4, 4), (4, 0)]], {"intersects", "touches"}),
     ("Polygon", [[(-9, -9), (9, -9), (9, 9), (-9, 9), (-9, -9)], [(-1, -1), (-1, 5), (5, 5), (5, -1), (-1, -1)]], set()),
     ("Polygon", [[(-9, -9), (9, -9), (9, 9), (-9, 9), (-9, -9)], CELL[::-1]], {"intersects", "touches"}),
+    ("Polygon", [[(1, 1), (1.0002, 1), (1.0002, 1.0002), (1, 1.0002), (1, 1)]], {"intersects", "contains", "covers"}),
+    ("Polygon", [[(1, -0.00002), (1.0001, -0.00002), (1.0001, 0.00008), (1, 0.00008), (1, -0.00002)]], {"intersects", "overlaps"}),
+    ("Polygon", [[(1, -0.0001), (1.0001, -0.0001), (1.0001, 0), (1, 0), (1, -0.0001)]], {"intersects", "touches"}),
+    ("Polygon", [[(1, 0), (1.0001, 0), (1.0001, 0.0001), (1, 0.0001), (1, 0)]], {"intersects", "contains", "covers"}),
     ("Polygon", [[(-1, 1), (1, 1), (1, 3), (5, 3), (5, 5), (-1, 5), (-1, 1)]], {"intersects", "overlaps"}),
 ]
 
@@ -110,6 +114,12 @@ def test_relations(spark, kind, rings, want):
     assert set(one(spark, r=topology.relations(cell, shape(kind, *rings), names)).r) == want
 
 
+def test_clipped_away(spark):
+    far = shape("Polygon", [(9, 9), (10, 9), (10, 10), (9, 10), (9, 9)])
+    cell = F.array(*[geo.xy(F.lit(float(x)), F.lit(float(y))) for x, y in CELL])
+    assert one(spark, a=geo.area(geo.clip(far, cell))).a == 0.0
+
+
 def test_geometry(spark):
     box = shape("Polygon", CELL, [(1, 1), (1, 2), (2, 2), (2, 1), (1, 1)])
     r = one(
