@@ -34,28 +34,16 @@ def pinned(value: Column) -> Column:
     return F.explode_outer(F.array(value))
 
 
-def salted_join(
-    big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int | None = None
-) -> DataFrame:
-    """Equi-join for a hot key on the left and one row per key on the right.
-
-    The rows of a key are spread over ``salts`` shuffle keys by the hash of ``spread``; the right side is
-    copied once per salt. Used where a key may hold a large share of the rows.
-    """
-    salts = salts or min(32, parallelism(big))
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
 def with_block(df: DataFrame, keys: list[str], spread: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``block`` and ``blocks``: every key's rows are split by hash into blocks of about ``block_rows``.
 
-    Counting combines on the map side, so a key with a third of all rows costs one counter per task.
+    Counting combines on the map side, so a key with a third of all rows costs one counter per task. The counts are
+    one row per key: Spark broadcasts them if they are small, and otherwise splits the partition of a hot key
+    at run time (adaptive skew join), without copies of the table of counts.
     """
     counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_blocks"))
     return (
-        salted_join(df, counts, keys, spread)
+        df.join(counts, keys)
         .withColumn("block", F.pmod(F.xxhash64(*spread, F.lit("block")), F.col("_blocks")).cast("int"))
         .withColumnRenamed("_blocks", "blocks")
     )

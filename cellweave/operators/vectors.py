@@ -9,11 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.operators.scale import parallelism, reduce_vectors
-
-# Spark ML keeps the whole vocabulary on the driver; beyond this many numbers the distributed trainer is used.
-ML_NUMBERS = 200_000_000
-PCA_ROWS = 10_000
+from cellweave.operators.scale import reduce_vectors
 
 
 def wide_vectors(df: DataFrame, d: int, prefix: str = "vector", col: str = "vector") -> DataFrame:
@@ -28,21 +24,10 @@ def wide_vectors(df: DataFrame, d: int, prefix: str = "vector", col: str = "vect
 def train_walk_vectors(
     walks: DataFrame, dim: int = 100, epochs: int = 10, seed: int = 15, window: int = 5, col: str = "walk"
 ) -> DataFrame:
-    """Skip-gram vectors (token, vector) of all tokens of the walks."""
-    corpus = walks.where(F.size(col) > 0).select(col)
-    vocab = corpus.select(F.explode(col).alias("t")).agg(F.approx_count_distinct("t").alias("n")).first()["n"]
-    if vocab * dim <= ML_NUMBERS:
-        from pyspark.ml.feature import Word2Vec
-
-        parts = min(parallelism(corpus), 8)
-        model = Word2Vec(
-            vectorSize=dim, minCount=0, maxIter=epochs, seed=seed, windowSize=window, numPartitions=parts, inputCol=col, outputCol="v"
-        ).fit(corpus)
-        from pyspark.ml.functions import vector_to_array
-
-        return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))
+    """Skip-gram vectors (token, vector) of all tokens of the walks, by the distributed trainer for any vocabulary."""
     from cellweave.operators.kge import train_pairs
 
+    corpus = walks.where(F.size(col) > 0).select(col)
     return train_pairs(token_pairs(corpus, window, col), dim, epochs, seed)
 
 
@@ -61,9 +46,26 @@ def token_pairs(corpus: DataFrame, window: int = 5, col: str = "walk") -> DataFr
     return pairs.groupBy("p.center", "p.context").agg(F.count("*").alias("w"))
 
 
-def union_corpus(walks: DataFrame, date: str) -> DataFrame:
-    """Walks up to a date: training on them replaces a warm start."""
-    return walks.where(F.col("date") <= F.to_date(F.lit(date)))
+def walk_vectors_by_date(
+    walks: DataFrame, mode: str = "independent", dim: int = 100, epochs: int = 10, seed: int = 15, date: str = "DATE"
+) -> DataFrame:
+    """(token, vector, DATE) for every date of dated walks.
+
+    ``independent`` trains each date alone, ``union`` on all walks up to the date, ``aligned`` turns the vectors of
+    each date onto those of the date before.
+    """
+    from cellweave.session import cut_lineage
+
+    if mode not in ("independent", "union", "aligned"):
+        raise ValueError(f"mode {mode}")
+    out = None
+    for d in [r[0] for r in walks.select(date).distinct().orderBy(date).collect()]:
+        corpus = walks.where(F.col(date) <= d if mode == "union" else F.col(date) == d)
+        trained = train_walk_vectors(corpus, dim, epochs, seed).withColumn("DATE", F.lit(d))
+        out = trained if out is None else out.unionByName(trained)
+    if out is None:
+        raise ValueError("no dated walks")
+    return align_by_date(cut_lineage(out), dim) if mode == "aligned" else out
 
 
 def entity_vectors(roots: DataFrame, vectors: DataFrame, date: str) -> DataFrame:
@@ -130,7 +132,10 @@ def procrustes_rotate(base: DataFrame, other: DataFrame, dim: int, words: DataFr
 
 
 def procrustes_full(prev: DataFrame, cur: DataFrame, dim: int) -> tuple[DataFrame, DataFrame, float]:
-    """Centre, scale to unit norm, rotate and rescale over shared keys; returns both tables and the disparity."""
+    """Centre, scale to unit norm, rotate and rescale; returns both tables and the disparity.
+
+    The transformation is fitted on the shared keys and applied to all keys of either table.
+    """
 
     def sums(pdf: pd.DataFrame) -> np.ndarray:
         b, o = _matrix(pdf["base"]), _matrix(pdf["other"])
@@ -150,22 +155,26 @@ def procrustes_full(prev: DataFrame, cur: DataFrame, dim: int) -> tuple[DataFram
         raise ValueError("alignment needs at least two different shared vectors")
     u, s, vt = np.linalg.svd((second[2:].reshape(dim, dim) / (nb * no)).T)
     q, scale = u @ vt, s.sum()
-    keys_p = prev.select("token", "vector").join(cur.select("token"), "token", "left_semi")
-    keys_c = cur.select("token", "vector").join(prev.select("token"), "token", "left_semi")
-    return _apply(keys_p, lambda x: (x - mb) / nb), _apply(keys_c, lambda x: ((x - mo) / no) @ q * scale), float(1 - scale**2)
+    first_all, second_all = prev.select("token", "vector"), cur.select("token", "vector")
+    return _apply(first_all, lambda x: (x - mb) / nb), _apply(second_all, lambda x: ((x - mo) / no) @ q * scale), float(1 - scale**2)
 
 
 def align_by_date(vectors: DataFrame, dim: int, mode: str = "rotate") -> DataFrame:
-    """Chain of alignments over the dates of a (token, vector, DATE) table, each date onto the one before."""
+    """Chain of alignments over the dates of a (token, vector, DATE) table, each date onto the one before.
+
+    Every date keeps all of its tokens. With ``mode="full"`` the first date is centred and scaled like the others.
+    """
     from cellweave.session import cut_lineage
 
     dates = [r["DATE"] for r in vectors.select("DATE").distinct().orderBy("DATE").collect()]
     prev, out = None, None
-    for d in dates:
+    for i, d in enumerate(dates):
         cur = vectors.where(F.col("DATE") == d).select("token", "vector")
-        if prev is not None:
-            cur = procrustes_rotate(prev, cur, dim) if mode == "rotate" else procrustes_full(prev, cur, dim)[1]
-            cur = cut_lineage(cur)
+        if mode == "full" and i == 0:
+            # onto itself: the identity after centring and scaling
+            cur = cut_lineage(procrustes_full(cur, cur, dim)[0])
+        elif prev is not None:
+            cur = cut_lineage(procrustes_rotate(prev, cur, dim) if mode == "rotate" else procrustes_full(prev, cur, dim)[1])
         prev = cur
         dated = cur.withColumn("DATE", F.lit(d))
         out = dated if out is None else out.unionByName(dated)
@@ -188,43 +197,34 @@ def _centred_gram(x: np.ndarray) -> np.ndarray:
     return c.T @ c
 
 
-def pca_compress(df: DataFrame, key: str, dim: int, col: str = "vector", rows: int = PCA_ROWS) -> DataFrame:
+def pca_compress(df: DataFrame, key: str, dim: int, col: str = "vector") -> DataFrame:
     """One ``dim``-vector per key: first-component scores of the block of its vectors; single rows pass through.
 
-    Only the d x d product of the block is needed, and it is a sum over rows. Keys up to ``rows`` vectors are
-    solved as one group; the vectors of larger keys are summed batch by batch where they lie, then in two
-    levels, so no key is ever gathered whole.
+    Only the d x d product of the block is needed, and it is a sum over rows: vectors are summed batch by batch where
+    they lie, then in two levels, so no key is ever gathered whole.
     """
     data = df.select(F.col(key), F.col(col).cast("array<double>").alias("v"))
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, vector array<double>"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(pdf["v"])
-        out = x[0] if len(x) == 1 else _first_scores(_centred_gram(x))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "vector": [out]})
-
-    large = counts.where(F.col("_n") > rows).select(key)
-    small = data.join(large, key, "left_anti").groupBy(key).applyInPandas(solve, schema)
-    if large.isEmpty():
-        return small
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, n bigint, one array<double>, gram array<double>"
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for k, g in pdf.groupby(key):
-                yield pd.DataFrame({key: [k], "vector": [_centred_gram(_matrix(g["v"])).ravel()]})
+            rows = [(k, len(g), g["v"].iloc[0], _centred_gram(_matrix(g["v"])).ravel()) for k, g in pdf.groupby(key, dropna=False)]
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "n", "one", "gram"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "vector": [np.sum(_matrix(pdf["vector"]), axis=0)]})
+        row = (pdf[key].iloc[0], int(pdf["n"].sum()), pdf["one"].iloc[0], np.sum(_matrix(pdf["gram"]), axis=0))
+        return pd.DataFrame([row], columns=[key, "n", "one", "gram"])
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        gram = np.sum(_matrix(pdf["vector"]), axis=0).reshape(dim, dim)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "vector": [_first_scores(gram)]})
+        total = add(pdf).iloc[0]
+        vector = np.asarray(total["one"], dtype=float) if total["n"] == 1 else _first_scores(np.asarray(total["gram"]).reshape(dim, dim))
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "vector": [vector]})
 
-    sums = data.join(large, key, "left_semi").mapInPandas(partial, schema)
-    slots = sums.withColumn("_slot", F.pmod(F.spark_partition_id(), F.lit(64)))
+    slots = data.mapInPandas(partial, schema).withColumn("_slot", F.pmod(F.spark_partition_id(), F.lit(64)))
     level = slots.groupBy(key, "_slot").applyInPandas(lambda pdf: add(pdf), schema)
-    return small.unionByName(level.groupBy(key).applyInPandas(finish, schema))
+    out = f"`{key}` {df.schema[key].dataType.simpleString()}, vector array<double>"
+    return level.groupBy(key).applyInPandas(finish, out)
 
 
 def select_cell_vectors(vectors: DataFrame, grid: DataFrame, date: str, dim: int, grid_id: str = "cell_id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cellweave.operators import graph, triples
 from cellweave.plans import inputs
 from cellweave.plans.registry import load, query
+from cellweave.session import cut_lineage
 
 _STATS_SQL = f"""
 WITH {inputs.STAR_SQL},
@@ -191,10 +192,10 @@ def bindings_to_triples(spark, sf):
 
 @query(
     "star_pattern",
-    f"""WITH {inputs.STAR_SQL}
-    SELECT subject, predicate, object, CAST(date AS VARCHAR) AS date FROM star
-    WHERE subject IN (SELECT subject FROM star WHERE predicate = 'placedBy'
-      AND object IN (SELECT 'customer/' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))""",
+    f"""WITH {inputs.STAR_SQL},
+    ids AS (SELECT 'customer/' || c_custkey AS object FROM customer WHERE c_mktsegment = 'BUILDING'),
+    subjects AS (SELECT DISTINCT subject FROM star JOIN ids USING (object) WHERE predicate = 'placedBy')
+    SELECT star.subject, predicate, star.object, CAST(date AS VARCHAR) AS date FROM star JOIN subjects USING (subject)""",
 )
 def star_pattern(spark, sf):
     ids = load(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("customer/"), "c_custkey").alias("id"))
@@ -251,7 +252,7 @@ paths AS (
 
 
 def star_paths(spark, sf, mode="first_hop"):
-    edges = inputs.all_edges(spark, sf)
+    edges = cut_lineage(inputs.all_edges(spark, sf))
     return graph.bfs_paths(edges, graph.walk_roots(edges), 3, mode)
 
 

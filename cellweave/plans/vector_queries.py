@@ -23,6 +23,52 @@ def pca_compress(spark, sf):
     return vectors.pca_compress(e, "ID", DIM)
 
 
+def _norm(col="vector"):
+    return F.round(F.sqrt(F.aggregate(col, F.lit(0.0), lambda s, v: s + v * v)), 5)
+
+
+_HALF_SQL = """SELECT CAST(CAST(floor(vec_id / 2) AS BIGINT) AS VARCHAR) AS token,
+    round(sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)))), 5) AS norm FROM embeddings WHERE vec_id % 2 = 1"""
+
+
+@query("procrustes_norms", _HALF_SQL)
+def procrustes_norms(spark, sf):
+    """A rotation keeps the length of every vector."""
+    return procrustes_rotate(spark, sf).select("token", _norm().alias("norm"))
+
+
+@query(
+    "align_dates",
+    """WITH d AS (SELECT CAST(CAST(floor(vec_id / 3) AS BIGINT) AS VARCHAR) AS token, vec_id % 3 AS k, embedding FROM embeddings WHERE vec_id % 7 <> vec_id % 3)
+    SELECT CAST(DATE '2016-09-01' + CAST(k AS INTEGER) AS VARCHAR) AS "DATE", token,
+      round(sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)))), 5) AS norm FROM d""",
+)
+def align_dates(spark, sf):
+    """Three dates with different tokens, turned one onto the other: all tokens stay, with their length."""
+    e = load(spark, sf, "embeddings").where("vec_id % 7 <> vec_id % 3")
+    dated = e.select(
+        F.floor(F.col("vec_id") / 3).cast("string").alias("token"), F.col("embedding").cast("array<double>").alias("vector"),
+        F.date_add(F.to_date(F.lit("2016-09-01")), (F.col("vec_id") % 3).cast("int")).cast("string").alias("DATE"),
+    )
+    return vectors.align_by_date(dated, DIM).select("DATE", "token", _norm().alias("norm"))
+
+
+@query(
+    "align_dates_full",
+    """SELECT CAST(DATE '2016-09-01' + CAST(vec_id % 3 AS INTEGER) AS VARCHAR) AS "DATE", count(*) AS n, count(DISTINCT floor(vec_id / 3)) AS tokens
+    FROM embeddings WHERE vec_id % 7 <> vec_id % 3 GROUP BY 1""",
+)
+def align_dates_full(spark, sf):
+    """With centring and scaling every date keeps its tokens too."""
+    e = load(spark, sf, "embeddings").where("vec_id % 7 <> vec_id % 3")
+    dated = e.select(
+        F.floor(F.col("vec_id") / 3).cast("string").alias("token"), F.col("embedding").cast("array<double>").alias("vector"),
+        F.date_add(F.to_date(F.lit("2016-09-01")), (F.col("vec_id") % 3).cast("int")).cast("string").alias("DATE"),
+    )
+    out = vectors.align_by_date(dated, DIM, "full").where(F.size("vector") == DIM)
+    return out.groupBy("DATE").agg(F.count("*").alias("n"), F.count_distinct("token").alias("tokens"))
+
+
 @query("procrustes_rotate")
 def procrustes_rotate(spark, sf):
     return vectors.procrustes_rotate(_vectors(spark, sf, "vec_id % 2 = 0"), _vectors(spark, sf, "vec_id % 2 = 1"), DIM)
@@ -74,6 +120,18 @@ def token_pairs(spark, sf):
     return vectors.token_pairs(walks)
 
 
+@query(
+    "walk_vectors_by_date",
+    f"""WITH {inputs.DATED_SQL}, y AS (SELECT CAST(date_trunc('year', date) AS DATE) AS d, subject, object, predicate FROM dated WHERE date < DATE '1998-01-01')
+    SELECT DISTINCT CAST(d AS VARCHAR) AS "DATE", unnest([subject, predicate, object]) AS token, 8 AS dims FROM y""",
+)
+def walk_vectors_by_date(spark, sf):
+    """One table of aligned vectors for all dates, with every token of each date."""
+    dated = inputs.dated_star(spark, sf).where("date < '1998-01-01'")
+    walks = dated.select(F.trunc("date", "year").cast("string").alias("DATE"), F.array("subject", "predicate", "object").alias("walk"))
+    return vectors.walk_vectors_by_date(walks, "aligned", 8, 1).select("DATE", "token", F.size("vector").alias("dims"))
+
+
 @query("walk_vectors")
 def walk_vectors(spark, sf):
     walks = graph.walks(star_paths(spark, sf))
@@ -109,7 +167,15 @@ def encode_triples(spark, sf):
     return kge.encode_triples(inputs.all_edges(spark, sf))[0]
 
 
-@query("split_triples")
+@query(
+    "split_triples",
+    f"""WITH {inputs.EDGES_SQL}, t AS (SELECT DISTINCT subject, predicate, object FROM edges),
+    b AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', subject, predicate, object, '14')), 1, 8) AS BIGINT) % 10 AS b FROM t),
+    nodes AS (SELECT subject AS n FROM b WHERE b < 8 UNION SELECT object FROM b WHERE b < 8), preds AS (SELECT DISTINCT predicate AS n FROM b WHERE b < 8),
+    p AS (SELECT CASE WHEN b < 8 OR s.n IS NULL OR o.n IS NULL OR q.n IS NULL THEN 'train' WHEN b = 8 THEN 'test' ELSE 'valid' END AS part
+      FROM b LEFT JOIN nodes s ON subject = s.n LEFT JOIN nodes o ON object = o.n LEFT JOIN preds q ON predicate = q.n)
+    SELECT part, count(*) AS n FROM p GROUP BY 1""",
+)
 def split_triples(spark, sf):
     return kge.split_triples(triples.distinct_triples(inputs.all_edges(spark, sf))).groupBy("part").agg(F.count("*").alias("n"))
 

@@ -60,4 +60,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stage_path = path
+    return stored
+
+
+def release(stored: DataFrame) -> None:
+    """Delete a table made by :func:`cut_lineage` that no later step reads; loops keep one generation this way."""
+    path = getattr(stored, "_stage_path", None)
+    if path is not None:
+        jvm, context = stored.sparkSession._jvm, stored.sparkSession.sparkContext._jsc
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context.hadoopConfiguration()).delete(target, True)
