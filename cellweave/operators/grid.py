@@ -130,8 +130,9 @@ def compact_cells(cells: DataFrame) -> DataFrame:
 
 
 def uncompact_cells(cells: DataFrame, res: int) -> DataFrame:
-    """All descendants at one level."""
-    work = cells.select("res", "q", "r")
+    """All descendants at one level; a cell finer than that level is an error."""
+    finer = F.raise_error(F.concat(F.lit(f"a cell is finer than level {res}: "), F.col("res")))
+    work = cells.select(F.when(F.col("res") > res, finer).otherwise(F.col("res")).cast("int").alias("res"), "q", "r")
     for _ in range(res):
         kids = F.when(F.col("res") < res, F.transform(hx.hex_children(F.col("res"), F.col("q"), F.col("r")), lambda c: F.struct((F.col("res") + 1).alias("res"), c["q"].alias("q"), c["r"].alias("r"))))
         here = F.array(F.struct("res", "q", "r"))

@@ -34,7 +34,7 @@ MAX_STATIONS = 4000
 
 def clean_stations(stations: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Values inside their range, one row per station and date, one station per place."""
-    s = within_bounds(stations, bounds) if bounds is not None else stations.where("value IS NOT NULL")
+    s = within_bounds(stations, bounds) if bounds is not None else stations.where("value IS NOT NULL AND NOT isnan(value)")
     rest = [c for c in s.columns if c not in (*KEYS, "station")]
     s = first_per_group(s, [*KEYS, "station"], rest)
     return first_per_group(s, [*KEYS, "lon", "lat"], ["station"])
@@ -93,7 +93,7 @@ def idw(stations: DataFrame, cells: DataFrame, power: float | DataFrame = 2.0) -
     ``power`` is a number or a table (date, variable, power). A cell at a station takes the station's value.
     """
     item = F.struct(F.col("p").alias("p"), F.col("value").cast("double").alias("v"))
-    blocks = _blocks(_located(stations, "p"), item)
+    blocks = _blocks(_located(clean_stations(stations), "p"), item)
     if isinstance(power, DataFrame):
         blocks = blocks.join(power.select(*KEYS, "power"), KEYS, "left")
         power_col = F.coalesce(F.col("power"), F.lit(1.0))
@@ -120,7 +120,7 @@ def _station_pairs(stations: DataFrame) -> DataFrame:
 
 def idw_power(stations: DataFrame, powers: list[float] = POWERS) -> DataFrame:
     """Leave-one-out error of every power, and the best power, per date and variable."""
-    pairs = _station_pairs(stations)
+    pairs = _station_pairs(clean_stations(stations))
     others = F.filter("items", lambda x: x["id"] != F.col("station"))
     dist = F.transform(others, lambda x: F.struct(_angle(x["p"], F.col("p")).alias("d"), x["v"].alias("v")))
     base = pairs.select(*KEYS, "station", F.col("value").cast("double").alias("value"), pinned(dist).alias("dist"))
@@ -137,7 +137,7 @@ def idw_power(stations: DataFrame, powers: list[float] = POWERS) -> DataFrame:
 def variogram(stations: DataFrame, cutoff_m: float, bins: int = 15) -> DataFrame:
     """Empirical variogram: mean half squared difference and pair count per distance bin, each pair once."""
     width = cutoff_m / bins
-    pairs = _station_pairs(stations)
+    pairs = _station_pairs(clean_stations(stations))
     later = F.filter("items", lambda x: x["id"] > F.col("station"))
     scored = F.transform(
         later,
@@ -299,7 +299,7 @@ def krige(stations: DataFrame, cells: DataFrame, terms: list[str] = ()) -> DataF
         return _emit_weights(pdf, w, beta, model)
 
     need = list(dict.fromkeys([*KEYS, "station", "lon", "lat", "value", *terms]))
-    solved = stations.select(*need).groupBy(*KEYS).applyInPandas(solve, _weights_schema(stations))
+    solved = clean_stations(stations.select(*need)).groupBy(*KEYS).applyInPandas(solve, _weights_schema(stations))
     return evaluate(solved, cells, terms)
 
 
@@ -334,7 +334,7 @@ def krige_scores(stations: DataFrame) -> DataFrame:
 
     schema = f"date {stations.schema['date'].dataType.simpleString()}, variable string, formula string, rmse double"
     need = [*KEYS, "station", "lon", "lat", "value", "elevation", "coast"]
-    return stations.select(*need).groupBy(*KEYS).applyInPandas(score, schema)
+    return clean_stations(stations.select(*need)).groupBy(*KEYS).applyInPandas(score, schema)
 
 
 def krige_select(stations: DataFrame, dates: DataFrame) -> DataFrame:
@@ -384,7 +384,7 @@ def tps(stations: DataFrame, cells: DataFrame) -> DataFrame:
         return _emit_weights(pdf, w, beta, ("Tps", 0.0, 0.0, 1.0))
 
     need = [*KEYS, "station", "lon", "lat", "value"]
-    solved = stations.select(*need).groupBy(*KEYS).applyInPandas(solve, _weights_schema(stations))
+    solved = clean_stations(stations.select(*need)).groupBy(*KEYS).applyInPandas(solve, _weights_schema(stations))
     return evaluate(solved, cells, ["lon", "lat"])
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import text as tx
-from cellweave.operators.scale import with_block
 from cellweave.operators.triples import _emit, min_tags, triple
 
 # Namespaces of the generated graph.
@@ -69,7 +68,7 @@ def ontology_triples(features: DataFrame, ontology: DataFrame, key_list: DataFra
     return fixed.unionByName(made.where("t IS NOT NULL").select("t.*")).distinct()
 
 
-def collect_values(df: DataFrame, key: str, value: str, block_rows: int = 100_000) -> DataFrame:
-    """Distinct values per key as sorted lists; a key with very many values is split into several blocks."""
-    pairs = with_block(df.select(key, value).distinct(), [key], [value], block_rows)
-    return pairs.groupBy(key, "block").agg(F.array_sort(F.collect_list(value)).alias("values"))
+def collect_values(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Distinct values per key as rows (key, position, value), in order: a key with very many values is no large row."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(value)).alias("position")
+    return df.select(key, value).distinct().select(key, place, value)

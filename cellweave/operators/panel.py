@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -315,14 +316,47 @@ def wildfire_base(weather: DataFrame, fires: DataFrame, landcover: DataFrame) ->
 # -- binning ------------------------------------------------------------------------------------------------------
 
 
-def natural_breaks(df: DataFrame, col: str, k: int = 5, seed: int = 15) -> list[float]:
-    """Inner break points between k one-dimensional clusters: half way between neighbouring centres."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def natural_breaks(df: DataFrame, col: str, k: int = 5, cells: int = 4_096) -> list[float]:
+    """Inner break points between the k classes with the least squared deviation: half way between their means.
 
-    points = df.where(F.col(col).isNotNull()).select(array_to_vector(F.array(F.col(col).cast("double"))).alias("features"))
-    centres = sorted(float(c[0]) for c in KMeans(k=k, seed=seed, maxIter=20).fit(points).clusterCenters())
-    return [(a + b) / 2 for a, b in zip(centres, centres[1:])]
+    Values are counted and summed in ``cells`` equal steps between the extremes (one aggregation, at most that many
+    rows); the best classes over these steps come from dynamic programming, so the result is fixed. Fewer distinct
+    steps than classes give fewer breaks.
+    """
+    v = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL")
+    lo, hi = v.agg(F.min("v"), F.max("v")).first()
+    if lo is None or lo == hi:
+        return []
+    step = F.least(F.floor((F.col("v") - lo) / (hi - lo) * cells), F.lit(cells - 1)).alias("step")
+    sums = v.groupBy(step).agg(F.count("v").alias("n"), F.sum(F.col("v") - lo).alias("s"), F.sum((F.col("v") - lo) ** 2).alias("q"))
+    rows = sorted(tuple(r) for r in sums.collect())
+    return [lo + b for b in class_breaks(*(np.array(c, dtype=float) for c in list(zip(*rows))[1:]), k)]
+
+
+def class_breaks(n: np.ndarray, s: np.ndarray, q: np.ndarray, k: int) -> list[float]:
+    """Best k consecutive classes of ordered groups given by count, sum and sum of squares."""
+    n, s, q = (np.r_[0.0, np.cumsum(x)] for x in (n, s, q))
+    m = len(n) - 1
+
+    def cost(i: np.ndarray, j: int) -> np.ndarray:
+        return (q[j] - q[i]) - (s[j] - s[i]) ** 2 / (n[j] - n[i])
+
+    best = np.r_[0.0, [cost(np.array([0]), j)[0] for j in range(1, m + 1)]]
+    cuts = []
+    for c in range(2, min(k, m) + 1):
+        last, now = np.zeros(m + 1, dtype=int), np.full(m + 1, np.inf)
+        for j in range(c, m + 1):
+            i = np.arange(c - 1, j)
+            total = best[i] + cost(i, j)
+            at = int(np.argmin(total))
+            last[j], now[j] = i[at], total[at]
+        best, cuts = now, [*cuts, last]
+    ends = [m]
+    for last in reversed(cuts):
+        ends.append(int(last[ends[-1]]))
+    ends = [0, *reversed(ends)] if ends[-1] else list(reversed(ends))
+    means = [(s[b] - s[a]) / (n[b] - n[a]) for a, b in zip(ends, ends[1:])]
+    return [(a + b) / 2 for a, b in zip(means, means[1:])]
 
 
 def bin_labels(df: DataFrame, col: str, breaks: list[float], labels: list[str], out: str | None = None) -> DataFrame:

@@ -84,12 +84,10 @@ def min_tags(df: DataFrame, n: int = 2, col: str = "all_tags") -> DataFrame:
     return df.where(F.size(col) >= n)
 
 
-def widen_tags(df: DataFrame, keys: list[str] | None = None, col: str = "all_tags", limit: int = 5_000) -> DataFrame:
-    """One column per tag key next to the other columns; keys are discovered if not given."""
+def widen_tags(df: DataFrame, keys: list[str] | None = None, col: str = "all_tags") -> DataFrame:
+    """One column per tag key next to the other columns; without ``keys`` every key becomes a column."""
     if keys is None:
-        found = df.select(F.explode(F.map_keys(col)).alias("k")).distinct().orderBy("k").limit(limit + 1).collect()
-        if len(found) > limit:
-            raise ValueError(f"more than {limit} tag keys: name the columns to keep")
+        found = df.select(F.explode(F.map_keys(col)).alias("k")).distinct().orderBy("k").collect()
         keys = [r["k"] for r in found]
     rest = [c for c in df.columns if c != col]
     return df.select(*rest, *[F.try_element_at(col, F.lit(k)).alias(k) for k in keys])
@@ -144,13 +142,10 @@ def distinct_dates(df: DataFrame, col: str = "date") -> DataFrame:
     return df.select(F.col(col).alias("date")).distinct()
 
 
-def replicate_dates(df: DataFrame, dates: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Every undated row once per date. The calendar is one bounded array value, not a joined table."""
+def replicate_dates(df: DataFrame, dates: DataFrame) -> DataFrame:
+    """Every undated row once per date. The calendar (days of the graph) is one array value, not a joined table."""
     calendar = dates.select("date").distinct().agg(F.sort_array(F.collect_set("date")).alias("d"))
-    checked = calendar.select(
-        F.when(F.size("d") > limit, F.raise_error(F.lit(f"more than {limit} dates"))).otherwise(F.col("d"))
-    )
-    return df.withColumn("date", F.explode(checked.scalar()))
+    return df.withColumn("date", F.explode(calendar.scalar()))
 
 
 def slice_by_month(triples: DataFrame, start: str, end: str) -> DataFrame:

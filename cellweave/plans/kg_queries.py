@@ -41,10 +41,10 @@ def build_kg(spark, sf):
 
 @query(
     "select_cell_vectors",
-    """SELECT 'cell/' || vec_id AS "ID", '2016-09-01' AS "DATE", CAST(embedding[1] AS DOUBLE) AS vector0, CAST(embedding[2] AS DOUBLE) AS vector1
+    f"""SELECT 'cell/' || vec_id AS "ID", '2016-09-01' AS "DATE", {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS vector{i}' for i in range(64))}
     FROM embeddings WHERE vec_id IN (SELECT n_nationkey FROM nation)""",
 )
 def select_cell_vectors(spark, sf):
     v = load(spark, sf, "embeddings").select(F.concat(F.lit("cell/"), "vec_id").alias("token"), F.col("embedding").cast("array<double>").alias("vector"))
     cells = load(spark, sf, "nation").select(F.concat(F.lit("cell/"), "n_nationkey").alias("cell_id"))
-    return vectors.select_cell_vectors(v, cells, "2016-09-01", 2)
+    return vectors.select_cell_vectors(v, cells, "2016-09-01", 64)

@@ -247,19 +247,19 @@ def base_panel(spark, sf):
 _BASE_SQL = f"""base AS (SELECT CAST(c_nationkey AS VARCHAR) AS id, {MONTH_SQL} AS d, round(sum(o_totalprice), 2) AS price
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 vecs AS (SELECT CAST(label AS VARCHAR) AS id, CASE WHEN vec_id % 2 = 0 THEN DATE '1997-01-01' ELSE DATE '1998-01-01' END AS d,
-  round(sum(CAST(embedding[1] AS DOUBLE)), 5) AS v0, round(sum(CAST(embedding[2] AS DOUBLE)), 5) AS v1 FROM embeddings GROUP BY 1, 2)"""
+  {', '.join(f'round(sum(CAST(embedding[{i + 1}] AS DOUBLE)), 5) AS v{i}' for i in range(64))} FROM embeddings GROUP BY 1, 2)"""
 
 
 def label_vectors(spark, sf):
     e = load(spark, sf, "embeddings")
     day = F.when(F.col("vec_id") % 2 == 0, F.lit("1997-01-01")).otherwise(F.lit("1998-01-01")).alias("DATE")
     return e.groupBy(F.col("label").cast("string").alias("ID"), day).agg(
-        *[F.round(F.sum(F.col("embedding")[i].cast("double")), 5).alias(f"vector{i}") for i in (0, 1)]
+        *[F.round(F.sum(F.col("embedding")[i].cast("double")), 5).alias(f"vector{i}") for i in range(64)]
     )
 
 
 def _hybrid_sql(on: str) -> str:
-    return f'WITH {_BASE_SQL} SELECT b.id AS "ID", CAST(b.d AS VARCHAR) AS "DATE", price, v0 AS vector0, v1 AS vector1 FROM base b JOIN vecs v ON {on}'
+    return f'WITH {_BASE_SQL} SELECT b.id AS "ID", CAST(b.d AS VARCHAR) AS "DATE", price, {", ".join(f"v{i} AS vector{i}" for i in range(64))} FROM base b JOIN vecs v ON {on}'
 
 
 @query("hybrid_join_month", _hybrid_sql("b.id = v.id AND b.d = v.d"))
@@ -339,7 +339,8 @@ def order_rows(spark, sf):
 )
 def collect_values(spark, sf):
     li = load(spark, sf, "lineitem").select("l_suppkey", F.col("l_partkey").cast("string").alias("p"))
-    return ontology.collect_values(li, "l_suppkey", "p").select("l_suppkey", F.array_join("values", ",").alias("parts"))
+    found = ontology.collect_values(li, "l_suppkey", "p").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("position", "p"))).alias("v"))
+    return found.select("l_suppkey", F.array_join("v.p", ",").alias("parts"))
 
 
 # -- ontology -------------------------------------------------------------------------------------------------------

@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from cellweave.operators.scale import parallelism
 from cellweave.operators.vectors import wide_vectors
 
 
-def _spread_by_date(df: DataFrame, rows_per_file: int) -> DataFrame:
-    """Few files per date: a date is split by hash in proportion to its rows, so a hot date is many files."""
-    counts = df.groupBy("date").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).cast("int").alias("_files"))
-    rest = [c for c in df.columns if c != "date"]
-    dated = df.join(counts, df["date"].eqNullSafe(counts["date"])).drop(counts["date"])
-    return dated.withColumn("_file", F.pmod(F.xxhash64(*rest), F.col("_files"))).repartition("date", "_file").drop("_file", "_files")
+def _by_date(df: DataFrame, rows_per_file: int) -> DataFrameWriter:
+    """Rows gathered by date in one pass: small dates share a task, the partition of a large date is split at run time.
+
+    Both follow the advisory partition size of the session; ``rows_per_file`` bounds the rows of one file.
+    """
+    return df.hint("rebalance", "date").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("date")
 
 
 def write_triples(df: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     """Replace a triple table, partitioned by date."""
-    _spread_by_date(df, rows_per_file).write.mode("overwrite").partitionBy("date").parquet(path)
+    _by_date(df, rows_per_file).parquet(path)
 
 
 def append_triples(df: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     """Write the dates of ``df`` and leave the other dates alone; running it twice changes nothing."""
-    out = _spread_by_date(df, rows_per_file).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    out.partitionBy("date").parquet(path)
+    _by_date(df, rows_per_file).option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_clustered(df: DataFrame, path: str, single: bool = False, by: str = "geohash") -> None:
@@ -36,7 +34,7 @@ def write_clustered(df: DataFrame, path: str, single: bool = False, by: str = "g
 
 def compact(spark: SparkSession, path: str, out: str, target_rows: int = 5_000_000) -> None:
     """Rewrite a dated table with fewer, larger files in a new folder; the rows stay the same."""
-    _spread_by_date(spark.read.parquet(path), target_rows).write.mode("overwrite").partitionBy("date").parquet(out)
+    _by_date(spark.read.parquet(path), target_rows).parquet(out)
 
 
 def write_vectors(df: DataFrame, path: str, d: int, prefix: str = "vector") -> None:

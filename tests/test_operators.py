@@ -117,7 +117,7 @@ def test_pca_both_routes_match_numpy(spark):
     x = rng.normal(size=(60, 5))
     df = spark.createDataFrame([("hot" if i < 55 else f"k{i // 2}", [float(v) for v in r]) for i, r in enumerate(x)], "ID string, vector array<double>")
     for rows in (1000, 10):
-        got = {r.ID: np.array(r.vector) for r in vectors.pca_compress(df, "ID", 5, rows=rows).collect()}
+        got = {r.ID: np.array(r.vector) for r in vectors.pca_compress(df, "ID", 5).collect()}
         block = x[:55].T
         c = block - block.mean(axis=0)
         u, s, _ = np.linalg.svd(c, full_matrices=False)
@@ -158,18 +158,18 @@ def test_kge_loss_falls_and_repeats(spark, model, width):
 
 @pytest.mark.parametrize("model", ["transe", "complex", "skipgram"])
 def test_gradients_by_differences(model):
+    """Slopes of both kinds of corruption against differences of the loss."""
     rng = np.random.default_rng(4)
     args = [rng.normal(size=(3, 4)) * 0.3 for _ in range(4)]
-    w = np.array([1.0, 2.0, 0.5])
-    _, *grads = kge._MODELS[model](*args, w)
+    w, head = np.array([1.0, 2.0, 0.5]), np.array([True, False, True])
+    head = head & (model != "skipgram")
+    _, *grads = kge._slopes(model, *args, w, head)
     for k in range(4):
-        if model == "skipgram" and k == 1:
-            continue
         for i, j in ((0, 0), (1, 3), (2, 1)):
             up, down = [a.copy() for a in args], [a.copy() for a in args]
             up[k][i, j] += 1e-6
             down[k][i, j] -= 1e-6
-            slope = (kge._MODELS[model](*up, w)[0].sum() - kge._MODELS[model](*down, w)[0].sum()) / 2e-6
+            slope = (kge._slopes(model, *up, w, head)[0].sum() - kge._slopes(model, *down, w, head)[0].sum()) / 2e-6
             assert grads[k][i, j] == pytest.approx(slope, abs=1e-5)
 
 
@@ -182,12 +182,23 @@ def test_split_keeps_labels_known(spark):
     assert counts["train"] > 5 * counts["test"] > 0
 
 
-def test_walk_vectors_both_trainers(spark, monkeypatch):
+def test_walk_vectors(spark):
     walks = small_graph(spark).select(F.array("subject", "predicate", "object").alias("walk"))
-    assert vectors.train_walk_vectors(walks, 6, 1).count() == 15
-    monkeypatch.setattr(vectors, "ML_NUMBERS", 1)
-    other = vectors.train_walk_vectors(walks, 6, 2)
-    assert other.count() == 15 and len(other.first().vector) == 6
+    out = vectors.train_walk_vectors(walks, 6, 2)
+    assert out.count() == 15 and len(out.first().vector) == 6
+    dated = walks.withColumn("DATE", F.lit("2016-01-01")).unionByName(walks.limit(5).withColumn("DATE", F.lit("2017-01-01")))
+    per_date = {r.DATE: r["count"] for r in vectors.walk_vectors_by_date(dated, "union", 4, 1).groupBy("DATE").count().collect()}
+    assert per_date == {"2016-01-01": 15, "2017-01-01": 15}
+
+
+def test_alignment_keeps_all_keys(spark):
+    rng = np.random.default_rng(8)
+    keys = ["abcfg", "abdfg", "abcdfg"]
+    rows = [(t, [float(v) for v in rng.normal(size=3)], f"d{i}") for i, names in enumerate(keys) for t in names]
+    df = spark.createDataFrame(rows, "token string, vector array<double>, DATE string")
+    for mode in ("rotate", "full"):
+        got = vectors.align_by_date(df, 3, mode).groupBy("DATE").agg(F.sort_array(F.collect_list("token")).alias("t")).collect()
+        assert {r.DATE: "".join(r.t) for r in got} == {f"d{i}": k for i, k in enumerate(keys)}
 
 
 # -- interpolation ----------------------------------------------------------------------------------------------
@@ -294,7 +305,7 @@ def test_preprocess_learns_on_train_only(spark):
     train = spark.createDataFrame([(1.0, "a"), (3.0, "b"), (None, "a")], "x double, c string")
     test = spark.createDataFrame([(None, "z"), (9.0, "b")], "x double, c string")
     _, out = md.preprocess(train, test, ["x"], ["c"])
-    assert sorted(tuple(r.features.toArray())[:3] for r in out.collect()) == [(2.0, 0.0, 0.0), (9.0, 0.0, 1.0)]
+    assert sorted(tuple(r.features.toArray()) for r in out.collect()) == [(2.0, 0.0, 0.0), (9.0, 0.0, 1.0)]
 
 
 def test_snapshot_dates_and_years(spark, tmp_path):
@@ -320,8 +331,39 @@ def test_compaction_keeps_rows_and_lists_dates(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(date" in plan
 
 
-def test_widen_tags_refuses_unbounded_keys(spark):
+def test_widen_tags(spark):
     df = spark.createDataFrame([(1, {"a": "x", "b": "y"})], "osm_id int, all_tags map<string,string>")
     assert triples.widen_tags(df).columns == ["osm_id", "a", "b"]
+    assert triples.widen_tags(df, ["b", "z"]).columns == ["osm_id", "b", "z"]
+
+
+def test_natural_breaks_are_optimal(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    x = np.sort(rng.choice(4000, 24, replace=False).astype(float))
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+
+    def deviation(ends):
+        return sum(((x[a:b] - x[a:b].mean()) ** 2).sum() for a, b in zip(ends, ends[1:]))
+
+    best = min(((0, *c, len(x)) for c in combinations(range(1, len(x)), 3)), key=deviation)
+    means = [x[a:b].mean() for a, b in zip(best, best[1:])]
+    assert panel.natural_breaks(df, "v", 4) == pytest.approx([(a + b) / 2 for a, b in zip(means, means[1:])])
+    assert panel.natural_breaks(df.limit(0), "v", 4) == panel.natural_breaks(df.limit(1), "v", 4) == []
+
+
+def test_metrics_of_degenerate_tables(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 1.0)], "y double, p double")
+    assert metrics.regression_metrics(df, "y", "p").first().r2 is None
+    assert metrics.roc_auc(df, "y", "p").first().auc is None
     with pytest.raises(ValueError):
-        triples.widen_tags(df, limit=1)
+        metrics.time_folds(df, ["p"], 4)
+
+
+def test_stations_are_cleaned_before_interpolation(spark):
+    s = stations(spark)
+    twice = s.unionByName(s).unionByName(s.limit(3).withColumn("value", F.lit(None).cast("double")))
+    for run in (lambda x: ip.idw(x, at_stations(s), 2.0), lambda x: ip.krige(x, at_stations(s))):
+        a, b = ({(r.cell_id, r.date): r.value for r in run(d).collect()} for d in (s, twice))
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
