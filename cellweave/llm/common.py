@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def values_of(batch: pa.RecordBatch, column: str, rows: int = 256) -> Iterator:
+    """Values of a batch as Python objects, a few rows at a time: a batch may hold thousands of long texts."""
+    for lo in range(0, batch.num_rows, rows):
+        yield from batch.column(column).slice(lo, rows).to_pylist()
+
+
 def bucket_of(key: Column, bits: int) -> Column:
     """Leading bits of a 64-bit hash: ranges of equal width, in the order of the key."""
     return F.shiftright(key, 64 - bits).cast("int")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import free_name, load, text_of
+from cellweave.llm.common import free_name, load, text_of, values_of
 from cellweave.session import cut_lineage
 
 RADIUS = 4
@@ -60,7 +60,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [fingerprint(t, width) for t in b.column(text).to_pylist()]
+            prints = [fingerprint(t, width) for t in values_of(b, text)]
             column = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), column], names=[*kept, out])
 

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import count_not_above, load, text_of
+from cellweave.llm.common import count_not_above, load, text_of, values_of
 from cellweave.operators.scale import parallelism
 
 CHAIN = 3
 SAMPLED = 16
-MEMORY = 400_000
+MEMORY = 200_000
 #: Common words of English, German, French and Spanish that open a signature.
 ANCHORS = frozenset(
     """
@@ -189,7 +189,7 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -
 
     for b in batches:
         done = []
-        for bucket, copied, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("bucket", "copied", "doc_id", "text"))):
+        for bucket, copied, doc_id, text in zip(*(values_of(b, c) for c in ("bucket", "copied", "doc_id", "text"))):
             prints = signatures(text)
             if open_row is not None and open_row[0] == bucket:
                 done.append(close(open_row, text, prints))
