@@ -25,6 +25,7 @@ from cellweave.session import cut_lineage
 SHARDS = 40
 OVERHEAD = 16
 WHOLE_GROUP = 0.1
+SALTS = 1_024
 
 
 def _earlier(part: Column, totals: dict[int, int]) -> Column:
@@ -62,13 +63,16 @@ def assign_shards(
     placed, total = positions(rows, [F.col(c) for c in (group, *ties, size)], size, at, rank)
     first, weight = free_name(placed, "_first"), free_name(placed, "_weight")
     most = int(whole_group * total / shards)
-    together = (
-        placed.groupBy(group)
-        .agg(F.min(at).alias(first), F.sum(size).alias(weight), F.count(F.lit(1)).alias("_n"))
-        .where((F.col("_n") > 1) & (F.col(weight) <= most))
-        .select(group, first, weight)
+    groups = placed.groupBy(group).agg(F.min(at).alias(first), F.sum(size).alias(weight), F.count(F.lit(1)).alias("_n"))
+    salt, is_large = free_name(placed, "_salt"), free_name(placed, "_large")
+    together = groups.where((F.col("_n") > 1) & (F.col(weight) <= most)).select(
+        group, first, weight, F.pmod(F.col("_n"), F.lit(1)).cast("int").alias(salt)  # 0, but not a constant that the join could drop
     )
-    joined = placed.join(together, group, "left")
+    # at most shards / whole_group groups are larger; their rows look for nothing, so they are spread by a salt
+    large = groups.where(F.col(weight) > most).select(group, F.lit(True).alias(is_large))
+    spread = F.when(F.col(is_large), F.pmod(F.xxhash64(*ties), F.lit(SALTS)) + 1).otherwise(0).cast("int")
+    salted = placed.join(F.broadcast(large), group, "left").withColumn(salt, spread).drop(is_large)
+    joined = salted.join(together, [group, salt], "left").drop(salt)
     middle = F.coalesce(2 * F.col(first) + F.col(weight), 2 * F.col(at) + F.col(size))
     cut = F.floor(middle.cast("decimal(38,0)") * shards / F.lit(max(2 * total, 1)))
     sharded = joined.withColumn("shard", F.least(F.lit(shards - 1), cut.cast("int"))).drop(first, weight, at)
