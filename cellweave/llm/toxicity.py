@@ -52,7 +52,8 @@ NEGATIONS = ("not", "no", "never", "isn", "aren", "nicht", "kein", "keine", "nie
 REPORTS = ("said", "says", "called", "calls", "wrote", "quoted", "claimed", "sagte", "nannte", "schrieb", "dit", "appelé", "dijo", "llamó")
 _FIXED = {w: k for k, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
 _PLAIN = (OTHER, 0.0)
-_LISTED = {w: (k, 3.0 if k == THREAT else 0.0) for w, k in _FIXED.items()}
+_STOPS = dict.fromkeys(".!?;:\n", (STOP, 0.0))
+_LISTED = {w: (k, 3.0 if k == THREAT else 0.0) for w, k in _FIXED.items()} | _STOPS
 _TOKEN = re.compile(r"\w+|[.!?;:\n]")
 _WORD = re.compile(r"\w+")
 KINDS = ("plain", "targeted", "threat", "shielded")
@@ -123,7 +124,10 @@ def clause_weights(classes: list[int], weights: list[float]) -> tuple[float, flo
 
 
 class Lexicon(dict):
-    """Word to (class, weight); words met are kept, up to a bounded number per worker process."""
+    """Word to (class, weight); words met are kept, up to a bounded number per worker process.
+
+    Every entry, clause stops included, is a function of the word and the stems, so forgetting changes no result.
+    """
 
     def __init__(self, stems: dict[str, float]):
         super().__init__()
@@ -153,12 +157,8 @@ def lexicon_of(stems: dict[str, float]) -> Lexicon:
     return _LEXICONS[key]
 
 
-_STOPS = dict.fromkeys(".!?;:\n", (STOP, 0.0))
-
-
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """Sums of the clause weights by kind, and the number of words in thousands."""
-    lexicon.update(_STOPS)
     read = list(map(lexicon.__getitem__, _TOKEN.findall((text or "").lower())))
     sums = [0.0, 0.0, 0.0, 0.0]
     n = len(read)

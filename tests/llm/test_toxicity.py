@@ -23,6 +23,17 @@ def test_clause_kinds():
     assert f("IDIOT! idiotic; idiocy") == [8.0, 0, 0, 0]
 
 
+def test_forgetting_words_keeps_the_clauses(monkeypatch):
+    text = "they said idiot. one two three four\nan idiot! you went; idiot: five six? seven idiots. you idiot"
+    whole = X.features(text, X.Lexicon({"idiot": 4.0}))
+    assert whole[:4] == [12.0, 4.0, 0, 4.0]
+    for memory in (0, 1, 2, 3, 5, 8):
+        monkeypatch.setattr(X, "MEMORY", memory)
+        lex = X.Lexicon({"idiot": 4.0})
+        # the second reading starts from what the first one left behind
+        assert X.features(text, lex) == X.features(text, lex) == whole
+
+
 def test_composition_moves_all_parts():
     g = X.GRAMMAR
     s = g.step(g.step(g.start, X.NEGATION), X.OTHER)
