@@ -8,6 +8,7 @@ from cellweave.operators import graph, kge, triples, vectors
 from cellweave.plans import inputs
 from cellweave.plans.graph_queries import star_paths
 from cellweave.plans.registry import load, query
+from cellweave.session import cut_lineage
 
 DIM = 64
 
@@ -69,6 +70,36 @@ def align_dates_full(spark, sf):
     return out.groupBy("DATE").agg(F.count("*").alias("n"), F.count_distinct("token").alias("tokens"))
 
 
+_DATED_ALL_SQL = """d AS (SELECT CAST(CAST(floor(vec_id / 3) AS BIGINT) + 5 * (vec_id % 3) AS VARCHAR) AS token,
+      CAST(DATE '2016-09-01' + CAST(vec_id % 3 AS INTEGER) AS VARCHAR) AS "DATE", embedding FROM embeddings)"""
+
+
+def dated_vectors(spark, sf):
+    """Every vector under one of three dates. Tokens move by five from date to date, so each date has some of its own."""
+    k = F.col("vec_id") % 3
+    return load(spark, sf, "embeddings").select(
+        (F.floor(F.col("vec_id") / 3) + 5 * k).cast("string").alias("token"), F.col("embedding").cast("array<double>").alias("vector"),
+        F.date_add(F.to_date(F.lit("2016-09-01")), k.cast("int")).cast("string").alias("DATE"),
+    )
+
+
+@query(
+    "align_dates_all",
+    f"""WITH {_DATED_ALL_SQL} SELECT "DATE", token,
+      round(sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)))), 5) AS norm FROM d""",
+)
+def align_dates_all(spark, sf):
+    """All rows of the table under three dates with different tokens, turned one onto the other."""
+    return vectors.align_by_date(dated_vectors(spark, sf), DIM).select("DATE", "token", _norm().alias("norm"))
+
+
+@query("align_dates_full_all", f"""WITH {_DATED_ALL_SQL} SELECT "DATE", count(*) AS n, count(DISTINCT token) AS tokens FROM d GROUP BY 1""")
+def align_dates_full_all(spark, sf):
+    """The same rows with centring and scaling."""
+    out = vectors.align_by_date(dated_vectors(spark, sf), DIM, "full").where(F.size("vector") == DIM)
+    return out.groupBy("DATE").agg(F.count("*").alias("n"), F.count_distinct("token").alias("tokens"))
+
+
 @query("procrustes_rotate")
 def procrustes_rotate(spark, sf):
     return vectors.procrustes_rotate(_vectors(spark, sf, "vec_id % 2 = 0"), _vectors(spark, sf, "vec_id % 2 = 1"), DIM)
@@ -132,6 +163,24 @@ def walk_vectors_by_date(spark, sf):
     return vectors.walk_vectors_by_date(walks, "aligned", 8, 1).select("DATE", "token", F.size("vector").alias("dims"))
 
 
+def yearly_walks(spark, sf):
+    """The dated edges of all years as walks."""
+    dated = inputs.dated_star(spark, sf)
+    return dated.select(F.trunc("date", "year").cast("string").alias("DATE"), F.array("subject", "predicate", "object").alias("walk"))
+
+
+@query("walk_vectors_all_dates")
+def walk_vectors_all_dates(spark, sf):
+    """Aligned vectors of all years at the operator's own size and epochs: length, and likeness to the year before."""
+    v = cut_lineage(vectors.walk_vectors_by_date(yearly_walks(spark, sf), "aligned"))
+    before = v.select("token", F.add_months(F.col("DATE").cast("date"), 12).cast("string").alias("DATE"), F.col("vector").alias("before"))
+    dot = F.aggregate(F.zip_with("vector", "before", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return v.join(before, ["DATE", "token"], "left").select(
+        "DATE", "token", F.size("vector").alias("dims"), _norm().alias("norm"),
+        F.round(F.try_divide(dot, _norm() * _norm("before")), 5).alias("likeness"),
+    )
+
+
 @query("walk_vectors")
 def walk_vectors(spark, sf):
     walks = graph.walks(star_paths(spark, sf))

@@ -201,6 +201,19 @@ def test_alignment_keeps_all_keys(spark):
         assert {r.DATE: "".join(r.t) for r in got} == {f"d{i}": k for i, k in enumerate(keys)}
 
 
+def test_dated_vectors_and_walks_leave_no_row_out(spark, sf_dir):
+    from cellweave.plans import vector_queries as q
+    from cellweave.plans.inputs import dated_star
+
+    dated = q.dated_vectors(spark, sf_dir)
+    assert dated.count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    sets = [{r.token for r in dated.where(F.col("DATE") == d).collect()} for d in ("2016-09-01", "2016-09-02", "2016-09-03")]
+    assert all(a - b and b - a and a & b for a, b in zip(sets, sets[1:]))
+    walks, edges = q.yearly_walks(spark, sf_dir), dated_star(spark, sf_dir)
+    assert walks.count() == edges.count()
+    assert {r[0] for r in walks.select("DATE").distinct().collect()} == {r[0] for r in edges.select(F.trunc("date", "year").cast("string")).distinct().collect()}
+
+
 # -- interpolation ----------------------------------------------------------------------------------------------
 
 
