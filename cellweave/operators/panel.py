@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -319,23 +320,115 @@ def wildfire_base(weather: DataFrame, fires: DataFrame, landcover: DataFrame) ->
 def natural_breaks(df: DataFrame, col: str, k: int = 5, cells: int = 4_096) -> list[float]:
     """Inner break points between the k classes with the least squared deviation: half way between their means.
 
-    Values are counted and summed in ``cells`` equal steps between the extremes (one aggregation, at most that many
-    rows); the best classes over these steps come from dynamic programming, so the result is fixed. Fewer distinct
-    steps than classes give fewer breaks.
+    Exact, by branch and bound: values are counted and summed in steps, the best classes over whole steps bound the
+    least deviation from above, and a step can hold a break only if leaving it out brings the bound from below to this
+    value. Such steps are split between their own extremes (one aggregation a round, about ``cells`` rows) until they
+    hold one value; the others are joined where no break can stand between them. Costs within a billionth count as
+    equal. Fewer distinct values than classes give fewer breaks.
     """
-    v = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL")
+    v = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     lo, hi = v.agg(F.min("v"), F.max("v")).first()
     if lo is None or lo == hi:
         return []
-    step = F.least(F.floor((F.col("v") - lo) / (hi - lo) * cells), F.lit(cells - 1)).alias("step")
-    sums = v.groupBy(step).agg(F.count("v").alias("n"), F.sum(F.col("v") - lo).alias("s"), F.sum((F.col("v") - lo) ** 2).alias("q"))
-    rows = sorted(tuple(r) for r in sums.collect())
-    return [lo + b for b in class_breaks(*(np.array(c, dtype=float) for c in list(zip(*rows))[1:]), k)]
+    closed, split, parts = [], [(lo, hi)], cells
+    while split:
+        table = np.array(sorted(closed + _split_steps(v, split, parts)), dtype=float)
+        centre = table[np.argmax(table[:, 2]), 3]
+        sums = _sums(table, centre)
+        open_, apart = _undecided(*sums, k, (table[:, 0] < table[:, 1]) & (table[:, 5] == 0))
+        split = [(r[0], r[1]) for r in table[open_].tolist()]
+        if split:
+            closed = _joined(table, open_, apart)
+            parts = max(2, cells // len(split))
+    return [float(centre + b) for b in class_breaks(*sums, k)]
+
+
+def _split_steps(v: DataFrame, ranges: list[tuple[float, float]], parts: int) -> list[tuple]:
+    """(low, high, n, mean, squared deviation, closed) of the values in ``parts`` equal steps of every range."""
+    low, high = (np.array(x) for x in zip(*ranges))
+
+    @F.pandas_udf("bigint")
+    def step(x: pd.Series) -> pd.Series:
+        value = x.to_numpy(float)
+        at = np.maximum(np.searchsorted(low, value, "right") - 1, 0)
+        place = np.minimum(np.floor((value - low[at]) / (high[at] - low[at]) * parts), parts - 1)
+        return pd.Series(np.where((value >= low[at]) & (value <= high[at]), at * parts + place, -1).astype("int64"))
+
+    stats = [F.min("v"), F.max("v"), F.count("v"), F.avg("v"), F.var_pop("v") * F.count("v")]
+    rows = v.withColumn("step", step("v")).where("step >= 0").groupBy("step").agg(*stats).collect()
+    return [(*tuple(r)[1:], 0.0) for r in rows]
+
+
+def _sums(table: np.ndarray, centre: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, mean = table[:, 2].astype(np.longdouble), table[:, 3].astype(np.longdouble) - centre
+    return n, n * mean, table[:, 4] + n * mean**2
+
+
+def _prefix_costs(n: np.ndarray, s: np.ndarray, q: np.ndarray, k: int, drop: np.ndarray) -> list[np.ndarray]:
+    """For c = 1 to k, the least deviation of every prefix in c classes, empty ones allowed.
+
+    Between two classes one step of ``drop`` may be left out. The best begin of the last class never moves back as
+    the prefix grows, so each row is found by halving.
+    """
+    n, s, q = (np.r_[np.longdouble(0), np.cumsum(x)] for x in (n, s, q))
+    m = len(n) - 1
+
+    def cost(i: np.ndarray, j: int) -> np.ndarray:
+        return np.maximum((q[j] - q[i]) - (s[j] - s[i]) ** 2 / (n[j] - n[i]), 0)
+
+    rows = [np.r_[np.longdouble(0), [cost(np.array([0]), j)[0] for j in range(1, m + 1)]]]
+    for _ in range(1, k):
+        before = rows[-1].copy()
+        before[1:] = np.where(drop, np.minimum(before[1:], rows[-1][:-1]), before[1:])
+        now = before.copy()
+        todo = [(1, m, 0, m - 1)]
+        while todo:
+            a, b, first, last = todo.pop()
+            if a > b:
+                continue
+            j = (a + b) // 2
+            i = np.arange(first, min(last, j - 1) + 1)
+            total = before[i] + cost(i, j)
+            at = int(np.argmin(total))
+            now[j] = min(now[j], total[at])
+            todo += [(a, j - 1, first, int(i[at])), (j + 1, b, int(i[at]), last)]
+        rows.append(now)
+    return rows
+
+
+def _undecided(n: np.ndarray, s: np.ndarray, q: np.ndarray, k: int, drop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps that can hold a break of the best classes, and for each step whether a break can stand before it."""
+    m = len(n)
+    most = _prefix_costs(n, s, q, k, np.zeros(m, dtype=bool))[-1][-1] * (1 + 1e-9)
+    left = _prefix_costs(n, s, q, k, drop)
+    right = [r[::-1] for r in _prefix_costs(n[::-1], s[::-1], q[::-1], k, drop[::-1])]
+    inside, before = np.full(m, np.inf), np.full(m, np.inf)
+    for c in range(1, k):
+        inside = np.minimum(inside, left[c - 1][:-1] + right[k - c - 1][1:])
+        before = np.minimum(before, left[c - 1][:-1] + right[k - c - 1][:-1])
+    return drop & (inside <= most), before <= most
+
+
+def _joined(table: np.ndarray, open_: np.ndarray, apart: np.ndarray) -> list[tuple]:
+    """The steps without breaks inside, neighbours as one where no break can stand between them."""
+    out: list[tuple] = []
+    last = None
+    for i, (low, high, n, mean, dev, _) in enumerate(table.tolist()):
+        if open_[i]:
+            continue
+        if last == i - 1 and not apart[i]:
+            a, _, na, ma, da, _ = out.pop()
+            both = na + n
+            out.append((a, high, both, ma + (mean - ma) * n / both, da + dev + (mean - ma) ** 2 * na * n / both, 1.0))
+        else:
+            out.append((low, high, n, mean, dev, 1.0))
+        last = i
+    return out
 
 
 def class_breaks(n: np.ndarray, s: np.ndarray, q: np.ndarray, k: int) -> list[float]:
     """Best k consecutive classes of ordered groups given by count, sum and sum of squares."""
-    n, s, q = (np.r_[0.0, np.cumsum(x)] for x in (n, s, q))
+    n, s, q = (np.r_[np.zeros(1, dtype=x.dtype), np.cumsum(x)] for x in (n, s, q))
     m = len(n) - 1
 
     def cost(i: np.ndarray, j: int) -> np.ndarray:

@@ -366,6 +366,30 @@ def test_natural_breaks_are_optimal(spark):
     assert panel.natural_breaks(df.limit(0), "v", 4) == panel.natural_breaks(df.limit(1), "v", 4) == []
 
 
+@pytest.mark.parametrize("far", [[1e4], [-1e4, 3e5]])
+def test_natural_breaks_with_outliers(spark, far):
+    from itertools import combinations
+
+    rng = np.random.default_rng(5)
+    x = np.sort(np.r_[rng.uniform(0, 1, 18), far])
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+
+    def deviation(ends):
+        return sum(((x[a:b] - x[a:b].mean()) ** 2).sum() for a, b in zip(ends, ends[1:]))
+
+    best = min(((0, *c, len(x)) for c in combinations(range(1, len(x)), 4)), key=deviation)
+    means = [x[a:b].mean() for a, b in zip(best, best[1:])]
+    assert panel.natural_breaks(df, "v", 5) == pytest.approx([(a + b) / 2 for a, b in zip(means, means[1:])])
+
+
+def test_natural_breaks_need_no_fine_steps(spark):
+    """Few steps a round give the classes that dynamic programming finds over all single values."""
+    x = np.sort(np.random.default_rng(6).lognormal(0, 1.5, 1500))
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    want = panel.class_breaks(np.ones(len(x)), x, x**2, 5)
+    assert panel.natural_breaks(df, "v", 5, cells=16) == pytest.approx(want) == panel.natural_breaks(df, "v", 5)
+
+
 def test_metrics_of_degenerate_tables(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 1.0)], "y double, p double")
     assert metrics.regression_metrics(df, "y", "p").first().r2 is None
