@@ -184,7 +184,7 @@ def walk_vectors_all_dates(spark, sf):
 @query("walk_vectors")
 def walk_vectors(spark, sf):
     walks = graph.walks(star_paths(spark, sf))
-    trained = vectors.train_walk_vectors(walks, dim=16, epochs=1)
+    trained = vectors.train_walk_vectors(walks)
     return vectors.entity_vectors(walks.select("root").distinct(), trained, "2000-01-01")
 
 
@@ -231,9 +231,9 @@ def split_triples(spark, sf):
 
 @query("kge_transe")
 def kge_transe(spark, sf):
-    return kge.train_kge(inputs.all_edges(spark, sf), "transe", 8, 2)[0]
+    return kge.train_kge(inputs.all_edges(spark, sf), "transe")[0]
 
 
 @query("kge_complex")
 def kge_complex(spark, sf):
-    return kge.train_kge(kge.split_triples(inputs.all_edges(spark, sf)), "complex", 8, 2)[0]
+    return kge.train_kge(kge.split_triples(inputs.all_edges(spark, sf)), "complex")[0]

@@ -214,6 +214,30 @@ def test_dated_vectors_and_walks_leave_no_row_out(spark, sf_dir):
     assert {r[0] for r in walks.select("DATE").distinct().collect()} == {r[0] for r in edges.select(F.trunc("date", "year").cast("string")).distinct().collect()}
 
 
+@pytest.mark.parametrize(
+    "name, module, fit",
+    [("kge_transe", kge, "train_kge"), ("kge_complex", kge, "train_kge"), ("walk_vectors", vectors, "train_walk_vectors"),
+     ("gbt_regression", md, "fit_regressor"), ("gbt_classification", md, "fit_classifier")],
+)
+def test_registered_training_keeps_the_defaults(spark, sf_dir, monkeypatch, name, module, fit):
+    import inspect
+
+    import __spark_entry__ as entry
+
+    class Reached(Exception):
+        pass
+
+    plain = inspect.signature(getattr(module, fit))
+
+    def reached(*args, **kwargs):
+        raise Reached(plain.bind(*args, **kwargs).arguments)
+
+    monkeypatch.setattr(module, fit, reached)
+    with pytest.raises(Reached) as e:
+        entry.queries()[name](spark, sf_dir)
+    assert not {"dim", "epochs", "params"} & set(e.value.args[0])
+
+
 # -- interpolation ----------------------------------------------------------------------------------------------
 
 
