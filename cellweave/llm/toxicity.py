@@ -10,7 +10,8 @@ scored by a logistic function of the sums per kind, so isolated words count only
 Training uses labelled rows whose crc32 of the id, modulo 5, is not 0: a hash sample of at most ``SAMPLE_DOCS`` expected
 documents (a bound of the fit, not of the scoring). Stems are prefixes of words that occur far more often in toxic
 texts; they are counted inside tasks and summed by a map-side combined aggregation, and the ``MAX_STEMS`` best are
-kept. Near copies would count a chance word many times, so of texts with the same rarest-hash word only one is used.
+kept. Near copies would count a chance word many times, so of texts of one label with the same rarest-hash word only one is used;
+unrelated texts that share this word leave the fit as well.
 
 Defined results: a null or empty text has no clause and gets the score of a text without matches; an id that is labelled
 twice counts as toxic if one label says so; without labelled rows the fixed word lists and default weights are used;
@@ -206,7 +207,7 @@ def in_training(doc_id: F.Column) -> F.Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_DOCS) -> DataFrame:
-    """(text, toxic): texts of a hash sample of the labelled training rows, one of each set of near copies."""
+    """(text, toxic): texts of a hash sample of the labelled training rows, one for each rarest-hash word."""
     known = (
         labels.where(in_training(F.col("doc_id")) & F.col("toxic").isNotNull())
         .groupBy("doc_id")
