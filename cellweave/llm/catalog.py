@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.llm import chat, mixing, packing, quality, sharding, simhash, spotsigs, tokens, toxicity, urls
+from cellweave.llm import chat, mixing, packing, quality, repeats, sharding, simhash, spotsigs, tokens, toxicity, urls
 
 QUERIES = {
     "op1_spot_signatures": spotsigs.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_rules": urls.query,
     "op9_source_mix": mixing.query,
     "op10_byte_shards": sharding.query,
+    "op11_suffix_array_dedup": repeats.query,
 }
 ORACLES = {
     "op3_chat_formatting": chat.SQL,
