@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.llm import chat, mixing, packing, quality, repeats, sharding, simhash, spotsigs, tokens, toxicity, urls
+from cellweave.llm import chat, mixing, packing, quality, repeats, search, sharding, simhash, spotsigs, tokens, toxicity, urls, whitening
 
 QUERIES = {
     "op1_spot_signatures": spotsigs.query,
@@ -16,9 +16,12 @@ QUERIES = {
     "op9_source_mix": mixing.query,
     "op10_byte_shards": sharding.query,
     "op11_suffix_array_dedup": repeats.query,
+    "op12_embedding_whitening": whitening.query,
+    "op13_ranked_search": search.query,
 }
 ORACLES = {
     "op3_chat_formatting": chat.SQL,
     "op5_quality_rules": quality.SQL,
     "op8_url_rules": urls.SQL,
+    "op13_ranked_search": search.SQL,
 }
