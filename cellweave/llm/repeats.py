@@ -394,8 +394,8 @@ def _arrays(table: pa.Table, min_bytes: int) -> Iterator[tuple]:
     group = np.cumsum(new) - 1
     total, lo = np.cumsum(size[order]), 0
     while lo < len(order):
-        # whole anchors, as many as make up a few chunks
-        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 4 * CHUNK, "right"))
+        # whole anchors, few enough to sort in cache memory
+        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + CHUNK // 4, "right"))
         hi = int(np.searchsorted(group, group[min(max(hi, lo + 1), len(order) - 1)], "left")) if hi < len(order) else len(order)
         if hi <= lo:
             hi = int(np.searchsorted(group, group[lo], "right"))
