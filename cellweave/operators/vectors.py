@@ -28,11 +28,11 @@ def train_walk_vectors(
     from cellweave.operators.kge import train_pairs
 
     corpus = walks.where(F.size(col) > 0).select(col)
-    return train_pairs(token_pairs(corpus, window, col), dim, epochs, seed)
+    return train_pairs(token_pairs(corpus, window, col), dim, epochs, seed)[0].select("token", "vector")
 
 
-def token_pairs(corpus: DataFrame, window: int = 5, col: str = "walk") -> DataFrame:
-    """(center, context, w): how often two tokens stand within the window of each other."""
+def token_pairs(corpus: DataFrame, window: int = 5, col: str = "walk", by: tuple[str, ...] = ()) -> DataFrame:
+    """(center, context, w): how often two tokens stand within the window of each other, per value of ``by``."""
     near = F.flatten(
         F.transform(
             col,
@@ -42,30 +42,42 @@ def token_pairs(corpus: DataFrame, window: int = 5, col: str = "walk") -> DataFr
             ),
         )
     )
-    pairs = corpus.select(F.explode_outer(near).alias("p")).where("p IS NOT NULL")
-    return pairs.groupBy("p.center", "p.context").agg(F.count("*").alias("w"))
+    pairs = corpus.select(*by, F.explode_outer(near).alias("p")).where("p IS NOT NULL")
+    return pairs.groupBy(*by, "p.center", "p.context").agg(F.count("*").alias("w"))
 
 
 def walk_vectors_by_date(
     walks: DataFrame, mode: str = "independent", dim: int = 100, epochs: int = 10, seed: int = 15, date: str = "DATE"
 ) -> DataFrame:
-    """(token, vector, DATE) for every date of dated walks.
+    """(DATE, token, vector) for every date of dated walks.
 
-    ``independent`` trains each date alone, ``union`` on all walks up to the date, ``aligned`` turns the vectors of
-    each date onto those of the date before.
+    ``independent`` trains the tokens of each date by themselves, all dates side by side in the same rounds; ``union``
+    does so with all walks up to the date; ``aligned`` turns the vectors of each date onto those of the date before.
+    ``warm`` goes date by date: each starts from the vectors of the date before, new tokens are seeded, and tokens that
+    the date does not have keep their vectors.
     """
+    from cellweave.operators.kge import train_pairs
     from cellweave.session import cut_lineage
 
-    if mode not in ("independent", "union", "aligned"):
+    if mode not in ("independent", "union", "aligned", "warm"):
         raise ValueError(f"mode {mode}")
-    out = None
-    for d in [r[0] for r in walks.select(date).distinct().orderBy(date).collect()]:
-        corpus = walks.where(F.col(date) <= d if mode == "union" else F.col(date) == d)
-        trained = train_walk_vectors(corpus, dim, epochs, seed).withColumn("DATE", F.lit(d))
-        out = trained if out is None else out.unionByName(trained)
-    if out is None:
+    dated = walks.where(F.size("walk") > 0).select(F.col(date).alias("DATE"), "walk")
+    pairs = cut_lineage(token_pairs(dated, by=("DATE",)))
+    dates = [r[0] for r in pairs.select("DATE").distinct().orderBy("DATE").collect()]
+    if not dates:
         raise ValueError("no dated walks")
-    return align_by_date(cut_lineage(out), dim) if mode == "aligned" else out
+    if mode == "warm":
+        out = state = None
+        for d in dates:
+            state = cut_lineage(train_pairs(pairs.where(F.col("DATE") == d).drop("DATE"), dim, epochs, seed, start=state)[0])
+            now = state.select(F.lit(d).alias("DATE"), "token", "vector")
+            out = now if out is None else out.unionByName(now)
+        return out
+    if mode == "union":
+        later = F.filter(F.lit(dates), lambda d: d >= F.col("DATE"))
+        pairs = pairs.withColumn("DATE", F.explode(later)).groupBy("DATE", "center", "context").agg(F.sum("w").alias("w"))
+    trained = train_pairs(pairs, dim, epochs, seed, by=("DATE",))[0].select("DATE", "token", "vector")
+    return align_by_date(cut_lineage(trained, ["DATE"]), dim).select("DATE", "token", "vector") if mode == "aligned" else trained
 
 
 def entity_vectors(roots: DataFrame, vectors: DataFrame, date: str) -> DataFrame:

@@ -40,13 +40,13 @@ def procrustes_norms(spark, sf):
 
 @query(
     "align_dates",
-    """WITH d AS (SELECT CAST(CAST(floor(vec_id / 3) AS BIGINT) AS VARCHAR) AS token, vec_id % 3 AS k, embedding FROM embeddings WHERE vec_id % 7 <> vec_id % 3)
+    """WITH d AS (SELECT CAST(CAST(floor(vec_id / 3) AS BIGINT) AS VARCHAR) AS token, vec_id % 3 AS k, embedding FROM embeddings)
     SELECT CAST(DATE '2016-09-01' + CAST(k AS INTEGER) AS VARCHAR) AS "DATE", token,
       round(sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)))), 5) AS norm FROM d""",
 )
 def align_dates(spark, sf):
-    """Three dates with different tokens, turned one onto the other: all tokens stay, with their length."""
-    e = load(spark, sf, "embeddings").where("vec_id % 7 <> vec_id % 3")
+    """Three dates, turned one onto the other: all tokens stay, with their length."""
+    e = load(spark, sf, "embeddings")
     dated = e.select(
         F.floor(F.col("vec_id") / 3).cast("string").alias("token"), F.col("embedding").cast("array<double>").alias("vector"),
         F.date_add(F.to_date(F.lit("2016-09-01")), (F.col("vec_id") % 3).cast("int")).cast("string").alias("DATE"),
@@ -57,11 +57,11 @@ def align_dates(spark, sf):
 @query(
     "align_dates_full",
     """SELECT CAST(DATE '2016-09-01' + CAST(vec_id % 3 AS INTEGER) AS VARCHAR) AS "DATE", count(*) AS n, count(DISTINCT floor(vec_id / 3)) AS tokens
-    FROM embeddings WHERE vec_id % 7 <> vec_id % 3 GROUP BY 1""",
+    FROM embeddings GROUP BY 1""",
 )
 def align_dates_full(spark, sf):
     """With centring and scaling every date keeps its tokens too."""
-    e = load(spark, sf, "embeddings").where("vec_id % 7 <> vec_id % 3")
+    e = load(spark, sf, "embeddings")
     dated = e.select(
         F.floor(F.col("vec_id") / 3).cast("string").alias("token"), F.col("embedding").cast("array<double>").alias("vector"),
         F.date_add(F.to_date(F.lit("2016-09-01")), (F.col("vec_id") % 3).cast("int")).cast("string").alias("DATE"),
@@ -100,6 +100,44 @@ def align_dates_full_all(spark, sf):
     return out.groupBy("DATE").agg(F.count("*").alias("n"), F.count_distinct("token").alias("tokens"))
 
 
+_DOT_SQL = """WITH a AS (SELECT CAST(floor(vec_id / 2) AS BIGINT) AS token, embedding AS x FROM embeddings WHERE vec_id % 2 = 0),
+    b AS (SELECT CAST(floor(vec_id / 2) AS BIGINT) AS token, embedding AS y FROM embeddings WHERE vec_id % 2 = 1)"""
+
+
+@query(
+    "procrustes_gain",
+    f"""{_DOT_SQL} SELECT count(*) AS shared, round(avg(list_dot_product(CAST(x AS DOUBLE[]), CAST(y AS DOUBLE[])) / sqrt(list_dot_product(CAST(x AS DOUBLE[]), CAST(x AS DOUBLE[])) * list_dot_product(CAST(y AS DOUBLE[]), CAST(y AS DOUBLE[])))), 6) AS before,
+    true AS nearer, true AS best FROM a JOIN b USING (token)""",
+)
+def procrustes_gain(spark, sf):
+    """Mean cosine of shared tokens with the base before the turn; after it, it is larger and no other turn is better."""
+    base, other = _vectors(spark, sf, "vec_id % 2 = 0"), _vectors(spark, sf, "vec_id % 2 = 1")
+    q = vectors.rotation(base, other, DIM)
+
+    def cosine(x: str, y: str):
+        def dot(a: str, b: str):
+            return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+
+        return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
+
+    turned = vectors.procrustes_rotate(base, other, DIM)
+    # a further turn in the plane of any two axes lowers the mean: the gradient by the angle vanishes at the best turn
+    unit = turned.join(base.select("token", F.col("vector").alias("b")), "token")
+    size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v))
+    tilt = (F.col("vector")[0] * F.col("b")[1] - F.col("vector")[1] * F.col("b")[0]) / (size("vector") * size("b"))
+    both = vectors.shared_vocab(base, other).select(cosine("base", "other").alias("c"))
+    after = unit.agg(F.avg(cosine("b", "vector")).alias("after"), F.avg(tilt).alias("tilt"), F.lit(bool(abs(q @ q.T - _eye(DIM)).max() < 1e-9)).alias("turn"))
+    return both.agg(F.count("*").alias("shared"), F.avg("c").alias("mean")).join(after).select(
+        "shared", F.round("mean", 6).alias("before"), (F.col("after") >= F.col("mean")).alias("nearer"), (F.col("turn") & (F.abs("tilt") < 1e-6)).alias("best")
+    )
+
+
+def _eye(n: int):
+    import numpy as np
+
+    return np.eye(n)
+
+
 @query("procrustes_rotate")
 def procrustes_rotate(spark, sf):
     return vectors.procrustes_rotate(_vectors(spark, sf, "vec_id % 2 = 0"), _vectors(spark, sf, "vec_id % 2 = 1"), DIM)
@@ -121,12 +159,12 @@ def wide_vectors(spark, sf):
 
 @query(
     "shared_vocab",
-    """WITH a AS (SELECT CAST(vec_id AS VARCHAR) AS token FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT CAST(vec_id AS VARCHAR) AS token FROM embeddings WHERE vec_id % 3 = 0)
+    """WITH a AS (SELECT CAST(vec_id AS VARCHAR) AS token FROM embeddings WHERE vec_id % 3 <> 1), b AS (SELECT CAST(vec_id AS VARCHAR) AS token FROM embeddings WHERE vec_id % 3 <> 2)
     SELECT token, 'both' AS side FROM a JOIN b USING (token) UNION ALL SELECT token, 'a' FROM a ANTI JOIN b USING (token) UNION ALL SELECT token, 'b' FROM b ANTI JOIN a USING (token)""",
 )
 def shared_vocab(spark, sf):
     e = load(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("token"), F.col("embedding").alias("vector"), "vec_id")
-    a, b = e.where("vec_id % 2 = 0"), e.where("vec_id % 3 = 0")
+    a, b = e.where("vec_id % 3 <> 1"), e.where("vec_id % 3 <> 2")
     both = vectors.shared_vocab(a, b).select("token", F.lit("both").alias("side"))
     return both.unionByName(vectors.vocab_difference(a, b))
 
@@ -151,33 +189,50 @@ def token_pairs(spark, sf):
     return vectors.token_pairs(walks)
 
 
-@query(
-    "walk_vectors_by_date",
-    f"""WITH {inputs.DATED_SQL}, y AS (SELECT CAST(date_trunc('year', date) AS DATE) AS d, subject, object, predicate FROM dated WHERE date < DATE '1998-01-01')
-    SELECT DISTINCT CAST(d AS VARCHAR) AS "DATE", unnest([subject, predicate, object]) AS token, 8 AS dims FROM y""",
-)
-def walk_vectors_by_date(spark, sf):
-    """One table of aligned vectors for all dates, with every token of each date."""
-    dated = inputs.dated_star(spark, sf).where("date < '1998-01-01'")
-    walks = dated.select(F.trunc("date", "year").cast("string").alias("DATE"), F.array("subject", "predicate", "object").alias("walk"))
-    return vectors.walk_vectors_by_date(walks, "aligned", 8, 1).select("DATE", "token", F.size("vector").alias("dims"))
-
-
 def yearly_walks(spark, sf):
     """The dated edges of all years as walks."""
     dated = inputs.dated_star(spark, sf)
     return dated.select(F.trunc("date", "year").cast("string").alias("DATE"), F.array("subject", "predicate", "object").alias("walk"))
 
 
-@query("walk_vectors_all_dates")
+@query(
+    "walk_vectors_by_date",
+    f"""WITH {inputs.DATED_SQL}, y AS (SELECT DISTINCT CAST(date_trunc('year', date) AS DATE) AS d, unnest([subject, predicate, object]) AS token FROM dated),
+    s AS (SELECT token, min(d) AS since FROM y GROUP BY 1), days AS (SELECT DISTINCT d FROM y)
+    SELECT CAST(d AS VARCHAR) AS "DATE", token, 100 AS dims, CASE WHEN since < d THEN 1 ELSE 0 END AS old,
+      CASE WHEN since < d AND NOT EXISTS (SELECT 1 FROM y WHERE y.token = s.token AND y.d = days.d) THEN 1 ELSE 0 END AS kept
+    FROM s JOIN days ON since <= d""",
+)
+def walk_vectors_by_date(spark, sf):
+    """Warm start over all years: every token since its first year; tokens a year does not have keep their vectors."""
+    walks = yearly_walks(spark, sf)
+    v = cut_lineage(vectors.walk_vectors_by_date(walks, "warm"))
+    present = walks.select("DATE", F.explode("walk").alias("token"), F.lit(1).alias("here")).distinct()
+    dates = [r[0] for r in v.select("DATE").distinct().orderBy("DATE").collect()]
+    after = F.element_at(F.create_map(*[F.lit(x) for pair in zip(dates, dates[1:]) for x in pair]), F.col("DATE")) if dates[1:] else F.lit(None).cast("string")
+    before = v.select(after.alias("DATE"), "token", F.col("vector").alias("before")).where("DATE IS NOT NULL")
+    both = v.join(before, ["DATE", "token"], "left").join(present, ["DATE", "token"], "left")
+    drift = F.sqrt(F.aggregate(F.zip_with("vector", "before", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    return both.select(
+        "DATE", "token", F.size("vector").alias("dims"), F.when(F.col("before").isNotNull(), 1).otherwise(0).alias("old"),
+        F.when(F.col("here").isNull() & (drift < 1e-4), 1).otherwise(0).alias("kept"),
+    )
+
+
+@query(
+    "walk_vectors_all_dates",
+    f"""WITH {inputs.DATED_SQL}, y AS (SELECT DISTINCT CAST(date_trunc('year', date) AS DATE) AS d, unnest([subject, predicate, object]) AS token FROM dated)
+    SELECT CAST(y.d AS VARCHAR) AS "DATE", token, 100 AS dims, true AS has_length,
+      CASE WHEN EXISTS (SELECT 1 FROM y AS x WHERE x.token = y.token AND x.d = y.d - INTERVAL 1 YEAR) THEN true END AS comparable FROM y""",
+)
 def walk_vectors_all_dates(spark, sf):
-    """Aligned vectors of all years at the operator's own size and epochs: length, and likeness to the year before."""
+    """Aligned vectors of all years at the operator's own size and epochs, compared with the year before."""
     v = cut_lineage(vectors.walk_vectors_by_date(yearly_walks(spark, sf), "aligned"))
     before = v.select("token", F.add_months(F.col("DATE").cast("date"), 12).cast("string").alias("DATE"), F.col("vector").alias("before"))
     dot = F.aggregate(F.zip_with("vector", "before", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    likeness = F.try_divide(dot, _norm() * _norm("before"))
     return v.join(before, ["DATE", "token"], "left").select(
-        "DATE", "token", F.size("vector").alias("dims"), _norm().alias("norm"),
-        F.round(F.try_divide(dot, _norm() * _norm("before")), 5).alias("likeness"),
+        "DATE", "token", F.size("vector").alias("dims"), (_norm() > 0).alias("has_length"), likeness.between(-1.001, 1.001).alias("comparable"),
     )
 
 
@@ -229,11 +284,23 @@ def split_triples(spark, sf):
     return kge.split_triples(triples.distinct_triples(inputs.all_edges(spark, sf))).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("kge_transe")
+def _labels_sql(dims: int) -> str:
+    return f"""WITH {inputs.EDGES_SQL} SELECT DISTINCT unnest([subject, object]) AS token, {dims} AS dims, true AS finite, true AS loss_falls FROM edges"""
+
+
+def _trained(entities, losses):
+    """Entity vectors with what must hold of them: their size, finite entries, a loss that falls over the epochs."""
+    finite = F.forall("vector", lambda v: ~F.isnan(v) & (F.abs(v) < 1e6))
+    return entities.select("token", F.size("vector").alias("dims"), finite.alias("finite"), F.lit(losses[-1] < 0.5 * losses[0]).alias("loss_falls"))
+
+
+@query("kge_transe", _labels_sql(50))
 def kge_transe(spark, sf):
-    return kge.train_kge(inputs.all_edges(spark, sf), "transe")[0]
+    entities, _, losses = kge.train_kge(inputs.all_edges(spark, sf), "transe")
+    return _trained(entities, losses)
 
 
-@query("kge_complex")
+@query("kge_complex", _labels_sql(100))
 def kge_complex(spark, sf):
-    return kge.train_kge(kge.split_triples(inputs.all_edges(spark, sf)), "complex")[0]
+    entities, _, losses = kge.train_kge(kge.split_triples(inputs.all_edges(spark, sf)), "complex")
+    return _trained(entities, losses)

@@ -52,14 +52,14 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store ``df`` as a table in the shared folder and read it back.
+def cut_lineage(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Store ``df`` as a table in the shared folder and read it back; ``by`` names columns that become its folders.
 
     A lost executor then re-reads files instead of replaying the whole loop; the columnar files are smaller
     than row checkpoints and give the planner real sizes.
     """
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored._stage_path = path
     return stored

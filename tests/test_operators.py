@@ -191,6 +191,47 @@ def test_walk_vectors(spark):
     assert per_date == {"2016-01-01": 15, "2017-01-01": 15}
 
 
+def test_tournament_meets_every_bucket_once(spark):
+    for parts in (2, 4, 6, 10):
+        grid = spark.range(parts).select(F.col("id").cast("int").alias("i")).crossJoin(spark.range(parts).select(F.col("id").cast("int").alias("j")))
+        turn, pair = kge._meeting(F.col("i"), F.col("j"), parts)
+        met = [tuple(r) for r in grid.select("i", "j", turn, pair).collect()]
+        for t in range(parts - 1):
+            partner = [r[0] for r in spark.range(parts).orderBy("id").select(kge._partner(F.col("id").cast("int"), t, parts)).collect()]
+            assert all(partner[partner[i]] == i != partner[i] for i in range(parts))
+            assert all(i == j or partner[i] == j for i, j, u, _ in met if u == t) and all(p == min(i, partner[i]) for i, _, u, p in met if u == t)
+
+
+@pytest.mark.parametrize("model", ["transe", "complex", "skipgram"])
+def test_partitions_and_turns_train_all(spark, model, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(int(a), int(a + b) % 3 * (model != "skipgram"), 100 + int(b), 1.0) for a, b in rng.integers(0, 40, size=(600, 2))]
+    triples = spark.createDataFrame(rows, "h bigint, r bigint, t bigint, w double")
+    ids, rels = spark.range(150), spark.range(3)
+    monkeypatch.setattr(kge, "TASK_TRIPLES", 20)
+    runs = [kge.train(triples, ids, rels, model, 6, 25, 0.2, parts=6) for _ in range(2)]
+    (ent, rel, loss), again = runs[0], runs[1][2]
+    assert len(loss) == 25 and loss[-1] < 0.8 * loss[0] and loss == pytest.approx(again)
+    got = {r.id: r.vec for r in ent.collect()}
+    start = {r.id: r.vec for r in kge._start(ids, len(got[0]), 14).collect()}
+    used = {r[0] for r in rows} | {r[2] for r in rows}
+    moved = {i for i in got if not np.allclose(got[i], start[i], atol=1e-6)}
+    assert set(got) == set(range(150)) and used <= moved and (model != "skipgram" or moved == used) and rel.count() == 3
+
+
+def test_warm_start_keeps_and_seeds_tokens(spark):
+    days = {"2016": "abcd", "2017": "bcde", "2018": "ae"}
+    walks = [(d, [x, y]) for d, names in days.items() for x in names for y in names if x != y]
+    df = spark.createDataFrame(walks, "DATE string, walk array<string>")
+    got = {(r.DATE, r.token): np.array(r.vector) for r in vectors.walk_vectors_by_date(df, "warm", 5, 3).collect()}
+    assert sorted(got) == [("2016", t) for t in "abcd"] + [("2017", t) for t in "abcde"] + [("2018", t) for t in "abcde"]
+    assert np.allclose(got["2016", "a"], got["2017", "a"], atol=1e-6) and not np.allclose(got["2016", "b"], got["2017", "b"], atol=1e-3)
+    assert all(np.allclose(got["2017", t], got["2018", t], atol=1e-6) for t in "bcd") and not np.allclose(got["2017", "e"], got["2018", "e"], atol=1e-3)
+    # the second date does start where the first one ended: with no epochs its vectors are those
+    still = {(r.DATE, r.token): np.array(r.vector) for r in vectors.walk_vectors_by_date(df, "warm", 5, 0).collect()}
+    assert all(np.allclose(still["2016", t], still["2018", t], atol=1e-6) for t in "abcd")
+
+
 def test_alignment_keeps_all_keys(spark):
     rng = np.random.default_rng(8)
     keys = ["abcfg", "abdfg", "abcdfg"]
