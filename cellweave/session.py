@@ -5,8 +5,11 @@ Library functions never set cluster options themselves: they take the caller's s
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +35,29 @@ def build_session(app: str = "cellweave", cpus: int | str = "*", partitions: int
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application.
+
+    Functions of the package travel by name; workers of a cluster, or of a session started in another folder, find them
+    only if they have the package. The archive is made beside the driver and served by it, as all added files are.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_cellweave_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                archive.write(path, os.path.join("cellweave", os.path.relpath(path, root)))
+    target = os.path.join(tempfile.mkdtemp(prefix="cellweave-"), "cellweave.zip")
+    with open(target, "wb") as out:
+        out.write(packed.getvalue())
+    context.addPyFile(target)
+    context._cellweave_shipped = True
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by the cluster; a scratch folder only in local mode."""
     sc = spark.sparkContext
