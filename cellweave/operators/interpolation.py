@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import geo
 from cellweave.functions.values import clamp_round
+from cellweave.operators import solver
 from cellweave.operators.panel import first_per_group, invalid_predictions, repair_predictions, within_bounds
 from cellweave.operators.scale import parallelism, pinned, replicate_over, shard_of, with_block
+from cellweave.operators.solver import packed
+from cellweave.session import cut_lineage
 
 KEYS = ["date", "variable"]
 
@@ -28,8 +31,11 @@ POWERS = [0.1, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0]
 # Trend terms; a formula is any combination of them, or the constant.
 TREND_TERMS = {"LONGITUDE + LATITUDE": ["lon", "lat"], "ELEVATION": ["elevation"], "COASTDISTANCE": ["coast"]}
 
-# A dense system of this size still fits one task; larger groups are refused before anything is gathered.
-MAX_STATIONS = 4000
+# A date and variable with so many stations is solved densely in one task; larger ones by conjugate gradients over blocks.
+DENSE_STATIONS = 2000
+
+# Random signs that estimate the diagonal of a large inverse; each colours every so-many-th station along the quad order.
+PROBES = 32
 
 
 def clean_stations(stations: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
@@ -191,11 +197,20 @@ def _fit_variogram(h: np.ndarray, resid: np.ndarray) -> tuple[str, float, float,
     d, g = h[i, j], (resid[i] - resid[j]) ** 2 / 2
     top = d.max()
     keep = d <= top / 2 if (d <= top / 2).sum() >= 3 else d <= top
-    bins = np.minimum((d[keep] / (d[keep].max() + 1e-15) * 12).astype(int), 11)
-    n = np.bincount(bins, minlength=12)
+    best = _fit_bins(_bins(d[keep], g[keep], d[keep].max()), top)
+    return best or ("Exp", float(resid.var()), 0.0, float(top))
+
+
+def _bins(d: np.ndarray, g: np.ndarray, reach: float) -> np.ndarray:
+    """Pairs, summed distances and summed half squared differences of 12 equal classes of distance."""
+    at = np.minimum((d / (reach + 1e-15) * 12).astype(int), 11)
+    return np.stack([np.bincount(at, x, 12) for x in (np.ones(len(d)), d, g)])
+
+
+def _fit_bins(bins: np.ndarray, top: float) -> tuple[str, float, float, float] | None:
+    n = bins[0]
     ok = n > 0
-    hb = np.bincount(bins, d[keep], 12)[ok] / n[ok]
-    gb = np.bincount(bins, g[keep], 12)[ok] / n[ok]
+    hb, gb = bins[1][ok] / n[ok], bins[2][ok] / n[ok]
     w = n[ok] / np.maximum(hb, 1e-12) ** 2
     best = None
     for model in ("Sph", "Exp", "Gau"):
@@ -208,7 +223,7 @@ def _fit_variogram(h: np.ndarray, resid: np.ndarray) -> tuple[str, float, float,
                     err = (w * (x @ c - gb) ** 2).sum()
                     if best is None or err < best[0] - 1e-15:
                         best = (err, model, c[0], c[1], a)
-    return best[1:] if best else ("Exp", float(resid.var()), 0.0, float(top))
+    return best[1:] if best else None
 
 
 def _design(pdf: pd.DataFrame, terms: list[str]) -> np.ndarray:
@@ -242,10 +257,13 @@ def _weights_schema(df: DataFrame) -> str:
     return _WEIGHTS.format(d=df.schema["date"].dataType.simpleString())
 
 
-def _check_size(stations: DataFrame) -> None:
-    big = stations.groupBy(*KEYS).count().where(F.col("count") > MAX_STATIONS).limit(1).collect()
-    if big:
-        raise ValueError(f"{big[0]['count']} stations on one date: more than {MAX_STATIONS} need a sparser network")
+def _by_size(stations: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Clean stations of groups for one task, and those of larger groups (none: no such group)."""
+    sizes = stations.groupBy(*KEYS).count()
+    large = sizes.where(F.col("count") > DENSE_STATIONS).select(*KEYS)
+    if large.isEmpty():
+        return stations, None
+    return stations.join(large, KEYS, "left_anti"), cut_lineage(stations.join(large, KEYS, "left_semi"))
 
 
 def _emit_weights(pdf: pd.DataFrame, w: np.ndarray, beta: np.ndarray, model: tuple) -> pd.DataFrame:
@@ -285,9 +303,11 @@ def evaluate(weights: DataFrame, cells: DataFrame, terms: list[str]) -> DataFram
 
 
 def krige(stations: DataFrame, cells: DataFrame, terms: list[str] = ()) -> DataFrame:
-    """Kriging with constant or linear trend; one small solve per date and variable, predictions distributed."""
+    """Kriging with constant or linear trend for any number of stations; predictions distributed.
+
+    Up to ``DENSE_STATIONS`` stations of a date and variable are solved in one task, more by conjugate gradients.
+    """
     terms = list(terms)
-    _check_size(stations)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("station").reset_index(drop=True)
@@ -299,10 +319,145 @@ def krige(stations: DataFrame, cells: DataFrame, terms: list[str] = ()) -> DataF
         return _emit_weights(pdf, w, beta, model)
 
     need = list(dict.fromkeys([*KEYS, "station", "lon", "lat", "value", *terms]))
-    solved = clean_stations(stations.select(*need)).groupBy(*KEYS).applyInPandas(solve, _weights_schema(stations))
+    small, large = _by_size(clean_stations(stations.select(*need)))
+    solved = small.groupBy(*KEYS).applyInPandas(solve, _weights_schema(stations))
+    if large is not None:
+        blocks = _fitted(packed(large, KEYS, terms), KEYS, len(terms) + 1)
+        solved = solved.unionByName(_weights(_solved(blocks, KEYS, len(terms) + 1), KEYS, _weights_schema(stations)))
     return evaluate(solved, cells, terms)
 
 
+# -- groups larger than a task ------------------------------------------------------------------------------------
+
+
+def _doubles(cell: bytes, *shape: int) -> np.ndarray:
+    return np.frombuffer(cell, np.float64).reshape(*shape)
+
+
+def _grouped(df: DataFrame, keys: list[str], fn, new: str) -> DataFrame:
+    """Add columns to one-row groups by a function of the row."""
+    types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    names = [x.split()[0] for x in new.split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            rows = [fn(r) for r in pdf.to_dict("records")]
+            yield pd.concat([pdf[keys], pd.DataFrame(rows, columns=names, index=pdf.index)], axis=1)
+
+    return df.mapInPandas(run, f"{types}, {new}")
+
+
+def _fitted(blocks: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Blocks with the residuals of the trend and the variogram model of their group; ``flat`` if there is none to fit."""
+    moments = "dots array<double>"
+
+    def dots(r: dict) -> dict:
+        f, z = _doubles(r["trend"], -1, k), _doubles(r["value"], -1)
+        return {"dots": [*(f.T @ f).ravel(), *(f.T @ z), *np.array([(z * z).sum()])]}
+
+    def trend(r: dict) -> tuple:
+        m = np.asarray(r["t"])
+        gram, fz = m[: k * k].reshape(k, k), m[k * k : k * k + k]
+        size = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+        return (list(np.linalg.pinv(gram / np.outer(size, size), hermitian=True) @ (fz / size) / size),)
+
+    sums = solver.group_sum(solver._mapped(blocks, dots, moments), keys, "dots", "t")
+    blocks = blocks.join(_grouped(sums, keys, trend, "beta array<double>"), keys)
+    blocks = cut_lineage(solver._mapped(blocks, lambda r: {"resid": (_doubles(r["value"], -1) - _doubles(r["trend"], -1, k) @ np.asarray(r["beta"])).tobytes()}, "resid binary"))
+
+    def pairs(left: dict, right: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        d = solver.angles(_doubles(left["place"], -1, 3), _doubles(right["place"], -1, 3))
+        g = (_doubles(left["resid"], -1)[:, None] - _doubles(right["resid"], -1)[None, :]) ** 2 / 2
+        at = np.triu_indices(len(d), 1) if same else (slice(None), slice(None))
+        return d[at].ravel(), g[at].ravel()
+
+    def widest(left: dict, right: dict, same: bool) -> np.ndarray:
+        return np.array([pairs(left, right, same)[0].max(initial=0.0)])
+
+    def reach(left: dict, right: dict, same: bool) -> np.ndarray:
+        d, _ = pairs(left, right, same)
+        return np.array([d[d <= left["top"] / 2].max(initial=0.0)])
+
+    def classes(left: dict, right: dict, same: bool) -> np.ndarray:
+        d, g = pairs(left, right, same)
+        keep = d <= left["reach"]
+        return _bins(d[keep], g[keep], left["reach"]).ravel()
+
+    held = ["place", "resid"]
+    tops = solver.pair_sums(blocks, keys, held, widest, 1, 1).select(*keys, F.get("sums", F.lit(0)).alias("top"))
+    blocks = cut_lineage(blocks.join(tops, keys))
+    reaches = solver.pair_sums(blocks, keys, [*held, "top"], reach, 1, 1).select(*keys, F.get("sums", F.lit(0)).alias("reach"))
+    blocks = cut_lineage(blocks.join(reaches, keys))
+    bins = solver.pair_sums(blocks, keys, [*held, "reach"], classes, 0, 36)
+    spread = solver.group_sum(
+        solver._mapped(blocks, lambda r: {"dots": [float((_doubles(r["resid"], -1) ** 2).sum()), float(np.abs(_doubles(r["value"], -1)).max())]}, moments),
+        keys, "dots", "spread",
+    )
+    facts = bins.join(spread, keys).join(blocks.groupBy(*keys).agg(F.max("top").alias("top"), F.max("n").alias("n")), keys)
+
+    def model(r: dict) -> tuple:
+        variance = r["spread"][0] / r["n"]
+        name, nugget, psill, rng = _fit_bins(np.asarray(r["sums"]).reshape(3, 12), r["top"]) or ("Exp", variance, 0.0, r["top"])
+        flat = bool(np.sqrt(variance) <= 1e-12 * max(1.0, r["spread"][1]) or nugget + psill <= 0)
+        return (name, 1.0, 0.0, 1.0, flat) if flat else (name, float(nugget), float(psill), float(rng), flat)
+
+    return cut_lineage(blocks.join(_grouped(facts, keys, model, "model string, nugget double, psill double, rng double, flat boolean"), keys))
+
+
+def _solved(blocks: DataFrame, keys: list[str], k: int, probes: int = 0, rounds: int = 0, tolerance: float = 0.0) -> DataFrame:
+    """Blocks with the weights ``w`` of their stations and the trend ``beta``; with probes also the estimated ``diagonal``."""
+    sides = 1 + k + probes
+
+    def right(r: dict) -> dict:
+        z, f = _doubles(r["value"], -1), _doubles(r["trend"], -1, k)
+        v = np.zeros((len(z), probes))
+        if probes:
+            rng = np.random.default_rng([17, r["b"]])
+            v[np.arange(len(z)), np.arange(len(z)) % probes] = rng.choice([-1.0, 1.0], len(z))
+        return {"rhs": np.column_stack([z, f, v]).tobytes()}
+
+    def onto(r: dict) -> dict:
+        return {"dots": (_doubles(r["trend"], -1, k).T @ _doubles(r["x"], -1, sides)).ravel().tolist()}
+
+    def finish(r: dict) -> dict:
+        x, against = _doubles(r["x"], -1, sides), np.asarray(r["t"]).reshape(k, sides)
+        y, gram = x[:, 1 : 1 + k], against[:, 1 : 1 + k]
+        size = np.sqrt(np.maximum(np.abs(np.diag(gram)), 1e-300))
+        inverse = np.linalg.pinv(gram / np.outer(size, size), rcond=1e-13) / np.outer(size, size)
+        g = x - y @ (inverse @ against)
+        diagonal = np.zeros(0)
+        if probes:
+            sign = _doubles(r["rhs"], -1, sides)[:, 1 + k :]
+            diagonal = (sign * g[:, 1 + k :]).sum(1)
+        beta = r["beta"] if r.get("flat") else list(inverse @ against[:, 0])
+        w = np.zeros(len(x)) if r.get("flat") else g[:, 0]
+        return {"w": np.ascontiguousarray(w).tobytes(), "diagonal": np.ascontiguousarray(diagonal).tobytes(), "beta": [float(b) for b in beta]}
+
+    done = solver.solve(cut_lineage(solver._mapped(blocks, right, "rhs binary")), keys, sides, rounds, tolerance)
+    sums = solver.group_sum(solver._mapped(done, onto, "dots array<double>"), keys, "dots", "t")
+    return cut_lineage(solver._mapped(done.join(sums, keys), finish, "w binary, diagonal binary, beta array<double>").drop("x", "rhs", "t"))
+
+
+def _weights(blocks: DataFrame, keys: list[str], schema: str) -> DataFrame:
+    """One row per station of solved blocks."""
+
+    def rows(batches):
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                p = _doubles(r["place"], -1, 3)
+                n = len(p)
+                yield pd.DataFrame(
+                    {
+                        "date": [r["date"]] * n, "variable": r["variable"], "station": list(r["station"]),
+                        "lon": np.degrees(np.arctan2(p[:, 1], p[:, 0])), "lat": np.degrees(np.arcsin(np.clip(p[:, 2], -1, 1))),
+                        "w": _doubles(r["w"], -1), "model": r["model"], "nugget": r["nugget"], "psill": r["psill"], "rng": r["rng"],
+                        "beta": [list(r["beta"])] * n,
+                    }
+                )
+
+    return blocks.mapInPandas(rows, schema)
+
+
 def formulas() -> list[str]:
     names = list(TREND_TERMS)
     return [" + ".join(c) for k in (1, 2, 3) for c in combinations(names, k)] + ["1"]
@@ -313,8 +468,11 @@ def formula_terms(formula: str) -> list[str]:
 
 
 def krige_scores(stations: DataFrame) -> DataFrame:
-    """Leave-one-out error of every trend formula per date and variable, from one matrix inverse each."""
-    _check_size(stations)
+    """Leave-one-out error of every trend formula per date and variable, from one matrix inverse each.
+
+    Of groups larger than ``DENSE_STATIONS`` the diagonal of the inverse is estimated with ``PROBES`` fixed random signs,
+    which leaves the neighbours of a station out of its estimate; all formulas are solved in the same rounds.
+    """
     names = formulas()
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -334,7 +492,27 @@ def krige_scores(stations: DataFrame) -> DataFrame:
 
     schema = f"date {stations.schema['date'].dataType.simpleString()}, variable string, formula string, rmse double"
     need = [*KEYS, "station", "lon", "lat", "value", "elevation", "coast"]
-    return clean_stations(stations.select(*need)).groupBy(*KEYS).applyInPandas(score, schema)
+    small, large = _by_size(clean_stations(stations.select(*need)))
+    scores = small.groupBy(*KEYS).applyInPandas(score, schema)
+    if large is None:
+        return scores
+    terms, keys = ["lon", "lat", "elevation", "coast"], [*KEYS, "formula"]
+    every = packed(large, KEYS, terms).withColumn("formula", F.explode(F.array(*map(F.lit, names))))
+
+    def own(r: dict) -> dict:
+        used = np.array([1.0, *[float(t in formula_terms(r["formula"])) for t in terms]])
+        return {"trend": (_doubles(r["trend"], -1, 5) * used).tobytes()}
+
+    blocks = _solved(_fitted(solver._mapped(every, own, "trend binary"), keys, 5), keys, 5, PROBES)
+
+    def errors(r: dict) -> dict:
+        e = np.zeros(1) if r["flat"] else _doubles(r["w"], -1) / _doubles(r["diagonal"], -1)
+        return {"dots": [float((e * e).sum())]}
+
+    sums = solver.group_sum(solver._mapped(blocks, errors, "dots array<double>"), keys, "dots", "t")
+    sizes = blocks.groupBy(*keys).agg(F.max("n").alias("n"))
+    mean = F.sqrt(F.get("t", F.lit(0)) / F.col("n")).alias("rmse")
+    return scores.unionByName(sums.join(sizes, keys).select(*keys, mean))
 
 
 def krige_select(stations: DataFrame, dates: DataFrame) -> DataFrame:
@@ -354,8 +532,11 @@ def indicator_krige(stations: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def tps(stations: DataFrame, cells: DataFrame) -> DataFrame:
-    """Thin-plate spline, smoothing by generalised cross-validation; fewer than five stations are padded."""
-    _check_size(stations)
+    """Thin-plate spline, smoothing by generalised cross-validation; fewer than five stations are padded.
+
+    Groups larger than ``DENSE_STATIONS`` try all smoothings in the same rounds of conjugate gradients, with the trace of
+    the smoother estimated from ``PROBES`` fixed random signs.
+    """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("station").reset_index(drop=True)
@@ -373,8 +554,7 @@ def tps(stations: DataFrame, cells: DataFrame) -> DataFrame:
         vals, vecs = np.linalg.eigh(q2.T @ k @ q2) if n > rank else (np.zeros(0), np.zeros((0, 0)))
         u = vecs.T @ (q2.T @ z)
         best = (np.inf, 1e-8)
-        scale = np.abs(vals).max() if len(vals) else 1.0
-        for lam in scale * 10.0 ** np.arange(-8, 3):
+        for lam in _smoothings(n, h.max()):
             shrink = lam / (np.maximum(vals, 0) + lam)
             tr = shrink.sum()
             gcv = n * ((shrink * u) ** 2).sum() / tr**2 if tr > 0 else np.inf
@@ -384,10 +564,48 @@ def tps(stations: DataFrame, cells: DataFrame) -> DataFrame:
         return _emit_weights(pdf, w, beta, ("Tps", 0.0, 0.0, 1.0))
 
     need = [*KEYS, "station", "lon", "lat", "value"]
-    solved = clean_stations(stations.select(*need)).groupBy(*KEYS).applyInPandas(solve, _weights_schema(stations))
+    small, large = _by_size(clean_stations(stations.select(*need)))
+    solved = small.groupBy(*KEYS).applyInPandas(solve, _weights_schema(stations))
+    if large is not None:
+        solved = solved.unionByName(_weights(_large_spline(large), KEYS, _weights_schema(stations)))
     return evaluate(solved, cells, ["lon", "lat"])
 
 
+def _smoothings(n: int, top: float) -> np.ndarray:
+    """Smoothings to try, from next to none to a plane: steps of ten up to a hundred times a bound of the largest eigenvalue."""
+    h = np.array([top, min(top, np.exp(-0.5))])
+    return n * np.abs(solver.kernel("Tps", h, 0.0, 0.0, 1.0)).max(initial=1e-300) * 10.0 ** np.arange(-8, 3)
+
+
+def _large_spline(stations: DataFrame) -> DataFrame:
+    """Solved blocks of the smoothing that cross-validates best."""
+    blocks, k = packed(stations, KEYS, ["lon", "lat"]), 3
+
+    def widest(left: dict, right: dict, same: bool) -> np.ndarray:
+        return np.array([solver.angles(_doubles(left["place"], -1, 3), _doubles(right["place"], -1, 3)).max()])
+
+    tops = solver.pair_sums(blocks, KEYS, ["place"], widest, 1, 1)
+    facts = tops.join(blocks.groupBy(*KEYS).agg(F.max("n").alias("n"), F.max("nb").alias("nb")), KEYS)
+    tried = _grouped(facts, KEYS, lambda r: (list(_smoothings(r["n"], r["sums"][0])),), "smoothing array<double>")
+    keys = [*KEYS, "step"]
+    dealt = blocks.join(tried, KEYS).select("*", F.posexplode("smoothing").alias("step", "nugget")).drop("smoothing")
+    # products of the trend as large as the spline's own, so that neither drowns the other
+    bent = F.array_max("smoothing") / F.col("n") / 100
+    dealt = dealt.join(tried.join(facts.select(*KEYS, "n"), KEYS).select(*KEYS, bent.alias("psill")), KEYS)
+    dealt = dealt.withColumns({"model": F.lit("Tps"), "rng": F.lit(1.0), "flat": F.lit(False), "beta": F.array().cast("array<double>")})
+    done = _solved(dealt, keys, k, PROBES, tolerance=1e-8)
+
+    def facts_of(r: dict) -> dict:
+        w = _doubles(r["w"], -1)
+        return {"dots": [float((w * w).sum()), float(_doubles(r["diagonal"], -1).sum())]}
+
+    sums = solver.group_sum(solver._mapped(done, facts_of, "dots array<double>"), keys, "dots", "t")
+    score = F.get("t", F.lit(0)) / (F.get("t", F.lit(1)) * F.get("t", F.lit(1)))
+    best = sums.groupBy(*KEYS).agg(F.min_by("step", score).alias("step"))
+    unbent = F.array(*[F.get("beta", F.lit(i)) for i in range(k)])
+    return done.join(best, keys, "left_semi").withColumn("beta", unbent)
+
+
 def interpolate(stations: DataFrame, cells: DataFrame, lo: float, hi: float, terms: list[str] = ()) -> DataFrame:
     """Kriging, with invalid predictions replaced by inverse-distance values of the same date."""
     pred = krige(stations, cells, terms)
