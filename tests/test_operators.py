@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.operators import graph, grid, interpolation as ip, kge, metrics, modelling as md, panel, scale, spatial, triples, vectors
+from cellweave.operators import graph, grid, interpolation as ip, kge, metrics, modelling as md, panel, scale, solver, spatial, triples, vectors
 from cellweave.sources import readers, writers
 
 
@@ -347,6 +348,33 @@ def test_special_stations(spark):
     assert {r.value for r in ip.indicator_krige(bits, at_stations(bits)).collect()} <= {0.0, 1.0}
 
 
+def test_large_groups_agree_with_dense_ones(spark, monkeypatch):
+    s = stations(spark, 120).where("date = '2010-01-02'")
+    cells = at_stations(s).withColumn("lon", F.col("lon") + 0.21)
+    want = {r.cell_id: r.value for r in ip.krige(s, cells, ["lon", "lat"]).collect()}
+    monkeypatch.setattr(ip, "DENSE_STATIONS", 100)
+    monkeypatch.setattr(solver, "BLOCK", 40)
+    got = {r.cell_id: r.value for r in ip.krige(s, cells, ["lon", "lat"]).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and len(got) == 120
+
+
+def test_more_than_four_thousand_stations(spark):
+    rng = np.random.default_rng(3)
+    n = 4200
+    x, y = rng.uniform(-40, 40, n), rng.uniform(-30, 30, n)
+    z = np.sin(x / 7) + y / 20 + 0.1 * rng.normal(size=n)
+    pdf = pd.DataFrame({"date": "2010", "variable": "T", "station": [f"s{i}" for i in range(n)], "lon": x, "lat": y, "value": z})
+    cells = pd.DataFrame({"cell_id": [f"c{i}" for i in range(40)], "lon": rng.uniform(-40, 40, 40), "lat": rng.uniform(-30, 30, 40)})
+    got = ip.krige(spark.createDataFrame(pdf), spark.createDataFrame(cells)).toPandas().set_index("cell_id")["value"][cells["cell_id"]].to_numpy()
+    h = ip._angles(pdf)
+    name, nugget, psill, a = ip._fit_variogram(h, z - z.mean())
+    full = np.ones((n + 1, n + 1))
+    full[n, n], full[:n, :n] = 0.0, solver.kernel(name, h, nugget, psill, a)
+    w = np.linalg.solve(full, np.append(z, 0.0))
+    both = ip._angles(pd.concat([cells, pdf])[["lon", "lat"]])[:40, 40:]
+    assert np.allclose(got, solver.kernel(name, both, nugget, psill, a) @ w[:n] + w[n], atol=1e-5)
+
+
 def test_trend_choice_and_fallback(spark):
     s = stations(spark).withColumn("elevation", F.col("value") * 3).withColumn("coast", F.lit(1.0) + F.length("station"))
     assert len(ip.formulas()) == 8
