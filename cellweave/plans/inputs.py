@@ -189,7 +189,7 @@ STATIC_SQL = """static_edges AS (
 
 STAR_SQL = f"""{DATED_SQL}, {STATIC_SQL},
 months AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS date FROM orders),
-star AS (SELECT * FROM dated UNION ALL SELECT subject, predicate, object, date FROM static_edges, months)"""
+star AS MATERIALIZED (SELECT * FROM dated UNION ALL SELECT subject, predicate, object, date FROM static_edges, months)"""
 
 EDGES_SQL = f"""{DATED_SQL}, {STATIC_SQL},
 edges AS (SELECT subject, predicate, object FROM dated UNION ALL SELECT * FROM static_edges)"""
