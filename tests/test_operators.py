@@ -2,6 +2,8 @@
 
 import math
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -358,7 +360,9 @@ def test_large_groups_agree_with_dense_ones(spark, monkeypatch):
     assert got == pytest.approx(want, abs=1e-6) and len(got) == 120
 
 
-def test_more_than_four_thousand_stations(spark):
+@pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="takes more than four minutes")
+def test_more_than_four_thousand_stations(spark, monkeypatch):
+    monkeypatch.setattr(solver, "BLOCK", 1050)
     rng = np.random.default_rng(3)
     n = 4200
     x, y = rng.uniform(-40, 40, n), rng.uniform(-30, 30, n)
