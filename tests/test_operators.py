@@ -1,7 +1,6 @@
 """Operators whose results are not plain SQL: properties and brute force on small fixtures."""
 
 import math
-
 import os
 
 import numpy as np
