@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions import geo, hexgrid as hx
@@ -88,12 +88,8 @@ def hex_neighbours(grid: DataFrame) -> DataFrame:
     )
 
 
-def hex_ancestors(grid: DataFrame) -> DataFrame:
-    """(ancestor, descendant) pairs of grid cells at different levels.
-
-    Each cell generates its whole chain of ancestors in one pass; an equi-join keeps those that are in the grid.
-    """
-    cells = grid.select("cell_id", "res", "q", "r").distinct()
+def ancestor_chain() -> Column:
+    """Array of (res, q, r) from the cell of the row up to its ancestor at level 0, the cell first."""
     start = F.struct(F.col("res").alias("res"), F.col("q").alias("q"), F.col("r").alias("r"))
     kind = "struct<res:int,q:bigint,r:bigint>"
 
@@ -104,29 +100,53 @@ def hex_ancestors(grid: DataFrame) -> DataFrame:
         return F.concat(chain, F.array(nxt))
 
     steps = F.when(F.col("res") > 0, F.sequence(F.lit(1), F.col("res"))).otherwise(F.array().cast("array<int>"))
-    chain = F.aggregate(steps, F.array(start.cast(kind)), up)
-    pairs = cells.select(F.col("cell_id").alias("descendant"), F.explode_outer(F.slice(chain, F.lit(2), F.col("res"))).alias("a"))
+    return F.aggregate(steps, F.array(start.cast(kind)), up)
+
+
+def hex_ancestors(grid: DataFrame) -> DataFrame:
+    """(ancestor, descendant) pairs of grid cells at different levels.
+
+    Each cell generates its whole chain of ancestors in one pass; an equi-join keeps those that are in the grid.
+    """
+    cells = grid.select("cell_id", "res", "q", "r").distinct()
+    above = F.slice(ancestor_chain(), F.lit(2), F.col("res"))
+    pairs = cells.select(F.col("cell_id").alias("descendant"), F.explode_outer(above).alias("a"))
     pairs = pairs.where("a IS NOT NULL")
     pairs = pairs.select(hx.hex_id(F.col("a.res"), F.col("a.q"), F.col("a.r")).alias("ancestor"), "descendant")
     return pairs.join(cells.select(F.col("cell_id").alias("ancestor")), "ancestor", "left_semi")
 
 
+def _without_nested(cells: DataFrame) -> DataFrame:
+    """Cells that lie under no other cell of the table."""
+    above = cells.select("res", "q", "r", F.explode(F.slice(ancestor_chain(), F.lit(2), F.col("res"))).alias("a"))
+    given = cells.select(F.struct("res", "q", "r").alias("a"))
+    nested = above.join(given, "a", "left_semi").select("res", "q", "r").distinct()
+    return cells.join(nested, ["res", "q", "r"], "left_anti")
+
+
 def compact_cells(cells: DataFrame) -> DataFrame:
-    """Replace every complete set of seven siblings by its parent, finest level first.
+    """The fewest cells that cover the same area: complete sets of seven siblings become their parent, at all levels.
 
-    The work list is stored once per level, so that the plan stays short and no level is computed twice.
+    One aggregation counts for all levels: a cell adds to each of its ancestors the number of cells of the finest level
+    that it stands for, and an ancestor is complete if it collects seven to the power of the levels below it. Complete
+    cells without a complete parent remain. Counts combine on the map side, so that near the top each task sends a few
+    rows only. Repeated cells count once; cells under another given cell add no area and are left out first.
     """
-    pending = cut_lineage(cells.select("res", "q", "r").distinct())
-    top = pending.agg(F.max("res")).first()[0] or 0
-    for res in range(top, 0, -1):
-        here = pending.where(F.col("res") == res)
-        up_q, up_r = hx.hex_parent(res, F.col("q"), F.col("r"))
-        tagged = here.withColumns({"_q": up_q, "_r": up_r})
-        full = tagged.groupBy("_q", "_r").agg(F.count("*").alias("n")).where("n = 7").drop("n")
-        stay = tagged.join(full, ["_q", "_r"], "left_anti").select("res", "q", "r")
-        parents = full.select(F.lit(res - 1).alias("res"), F.col("_q").alias("q"), F.col("_r").alias("r"))
-        pending = cut_lineage(pending.where(F.col("res") != res).unionByName(parents).distinct().unionByName(stay))
-    return pending.withColumn("cell_id", hx.hex_id(F.col("res"), F.col("q"), F.col("r")))
+    given = cut_lineage(cells.select(F.col("res").cast("int").alias("res"), F.col("q").cast("bigint").alias("q"), F.col("r").cast("bigint").alias("r")).distinct())
+    coarse, fine = given.agg(F.min("res"), F.max("res")).first()
+    if coarse != fine:
+        given = _without_nested(given)
+
+    def stands_for(res: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(7**k) for k in range(hx.MAX_RES + 1)]), F.lit(fine or 0) - res + 1)
+
+    counted = given.select(stands_for(F.col("res")).alias("n"), F.explode(ancestor_chain()).alias("a"))
+    full = counted.groupBy("a.res", "a.q", "a.r").agg(F.sum("n").alias("n")).where(F.col("n") == stands_for(F.col("res")))
+    full = full.select("res", "q", "r")
+    up_q, up_r = hx.hex_parent(F.col("res"), F.col("q"), F.col("r"))
+    parents = full.select((F.col("res") + 1).alias("res"), F.col("q").alias("_q"), F.col("r").alias("_r"))
+    kept = full.withColumns({"_q": up_q, "_r": up_r}).join(parents, ["res", "_q", "_r"], "left_anti")
+    return kept.select("res", "q", "r", hx.hex_id(F.col("res"), F.col("q"), F.col("r")).alias("cell_id"))
 
 
 def uncompact_cells(cells: DataFrame, res: int) -> DataFrame:

@@ -24,6 +24,15 @@ def graph_statistics_by_month(spark, sf):
     return graph.mean_out_degree(kg).withColumn("date", F.col("date").cast("string"))
 
 
+@query("graph_statistics_by_validity", _STATS_SQL)
+def graph_statistics_by_validity(spark, sf):
+    """The same statistics, with every triple stored once and its days of validity beside it."""
+    dated = inputs.dated_star(spark, sf).withColumns({"first": F.col("date"), "last": F.col("date")}).drop("date")
+    undated = {"first": F.lit(None).cast("date"), "last": F.lit(None).cast("date")}
+    size = graph.graph_size_of_intervals(dated.unionByName(inputs.static_star(spark, sf).withColumns(undated)))
+    return size.withColumn("date", F.col("date").cast("string"))
+
+
 @query(
     "node_out_degree",
     f"""WITH {inputs.EDGES_SQL}, ends AS (
@@ -292,6 +301,58 @@ def walks_sample(spark, sf):
     return graph.walks(drawn).select("root", "node", F.array_join("walk", " ").alias("walk"))
 
 
+def _reach_sql(depth: int, k: int) -> str:
+    """Exhaustive search over the distinct edges ``e``, then the k lowest hashes per root."""
+    steps = [
+        "n0 AS (SELECT DISTINCT subject AS root FROM e)",
+        "d1 AS (SELECT subject AS root, object AS node, min([predicate, object]) AS path FROM e WHERE object <> subject GROUP BY 1, 2)",
+        "r1 AS (SELECT root, root AS node FROM n0 UNION ALL SELECT root, node FROM d1)",
+    ]
+    for i in range(2, depth + 1):
+        steps += [
+            f"c{i} AS (SELECT d.root, e.object AS node, min(path) AS path FROM d{i - 1} d JOIN e ON d.node = e.subject GROUP BY 1, 2)",
+            f"d{i} AS (SELECT c.* FROM c{i} c ANTI JOIN r{i - 1} r ON c.root = r.root AND c.node = r.node)",
+            f"r{i} AS (SELECT * FROM r{i - 1} UNION ALL SELECT root, node FROM d{i})",
+        ]
+    found = " UNION ALL ".join(
+        ["SELECT root, root AS node, 0 AS depth, CAST([] AS VARCHAR[]) AS path FROM n0"]
+        + [f"SELECT root, node, {i}, path FROM d{i}" for i in range(1, depth + 1)]
+    )
+    return f"""{", ".join(steps)}, reach AS ({found})
+    SELECT root, node, depth, CASE WHEN len(path) = 0 THEN '' ELSE array_to_string(list_concat([root], path), ' ') END AS walk
+    FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY md5('15|' || node), node) AS rn FROM reach) WHERE rn <= {k}"""
+
+
+# Depth of the walks and walks per root.
+WALK_DEPTH, WALKS_PER_ROOT = 4, 500
+
+
+def _sampled_walks(edges):
+    edges = cut_lineage(edges)
+    reach = graph.sampled_reach(edges, graph.walk_roots(edges), WALK_DEPTH, WALKS_PER_ROOT)
+    return graph.walks(reach).select("root", "node", "depth", F.array_join("walk", " ").alias("walk"))
+
+
+@query(
+    "walks_whole",
+    f"WITH {inputs.EDGES_SQL}, e AS (SELECT DISTINCT subject, predicate, object FROM edges), {_reach_sql(WALK_DEPTH, WALKS_PER_ROOT)}",
+)
+def walks_whole(spark, sf):
+    """Walks of all roots at full depth and number."""
+    return _sampled_walks(inputs.all_edges(spark, sf))
+
+
+@query(
+    "walks_whole_from_hubs",
+    f"""WITH {inputs.EDGES_SQL},
+    e AS (SELECT DISTINCT object AS subject, predicate || '_inverse' AS predicate, subject AS object FROM edges), {_reach_sql(WALK_DEPTH, WALKS_PER_ROOT)}""",
+)
+def walks_whole_from_hubs(spark, sf):
+    """The same against edge direction, where nations and regions reach far more nodes than they keep."""
+    back = triples.inverse_triples(inputs.all_edges(spark, sf)).where(F.col("predicate").endswith("_inverse"))
+    return _sampled_walks(back)
+
+
 @query(
     "walk_roots",
     f"""WITH {inputs.EDGES_SQL}, nodes AS (SELECT subject AS n FROM edges UNION SELECT object FROM edges)

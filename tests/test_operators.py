@@ -1,7 +1,10 @@
 """Operators whose results are not plain SQL: properties and brute force on small fixtures."""
 
+import datetime
+import hashlib
 import math
 import os
+import random
 
 import numpy as np
 import pandas as pd
@@ -500,3 +503,56 @@ def test_stations_are_cleaned_before_interpolation(spark):
     for run in (lambda x: ip.idw(x, at_stations(s), 2.0), lambda x: ip.krige(x, at_stations(s))):
         a, b = ({(r.cell_id, r.date): r.value for r in run(d).collect()} for d in (s, twice))
         assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+
+
+def test_compact_repeated_and_nested_cells_of_mixed_levels(spark):
+    whole = spark.createDataFrame([(1, 2, 5)], "res int, q bigint, r bigint")
+    fine, mid = grid.uncompact_cells(whole, 4).select("res", "q", "r"), grid.uncompact_cells(whole, 2).select("res", "q", "r")
+    lone = spark.createDataFrame([(3, 40, -7), (0, -9, 9)], "res int, q bigint, r bigint")
+    part = fine.where("pmod(q + 3 * r, 5) > 0").unionByName(mid).unionByName(mid).unionByName(lone)
+    assert sorted(r.cell_id for r in grid.compact_cells(part).collect()) == ["0/-9/9", "1/2/5", "3/40/-7"]
+    # a child and its own descendants must not stand in for a missing sibling
+    kids = [tuple(r) for r in mid.collect()]
+    below = grid.uncompact_cells(spark.createDataFrame(kids[:1], mid.schema), 3).select("res", "q", "r")
+    six = spark.createDataFrame(kids[:6], mid.schema)
+    got = {r.cell_id for r in grid.compact_cells(six.unionByName(below)).collect()}
+    assert got == {"/".join(map(str, k)) for k in kids[:6]}
+    assert grid.compact_cells(whole.limit(0)).count() == 0
+
+
+def test_sampled_reach_equals_exhaustive_search(spark):
+    rng = random.Random(5)
+    names = [f"n{i}" for i in range(60)]
+    rows = [(rng.choice(names), rng.choice("pqr"), rng.choice(names)) for _ in range(150)]
+    rows += [("n0", "h", n) for n in names] + [(n, "i", "n1") for n in names] + rows[:20] + [("n2", "p", "n2")]
+    t = spark.createDataFrame(rows, "subject string, predicate string, object string")
+    roots = spark.createDataFrame([(n,) for n in [*names[:25], "alone"]], "root string")
+    every = {(r.root, r.node): (r.depth, r.path) for r in graph.bfs_paths(t, roots, 3).collect()}
+    for k in (1, 4, 15, -1):
+        got = {(r.root, r.node): (r.depth, r.path) for r in graph.sampled_reach(t, roots, 3, k).collect()}
+        kept = {}
+        for root in {r for r, _ in every}:
+            reach = sorted((n for r, n in every if r == root), key=lambda n: (hashlib.md5(f"15|{n}".encode()).hexdigest(), n))
+            kept.update({(root, n): every[root, n] for n in (reach if k < 0 else reach[:k])})
+        assert got == kept, k
+    with pytest.raises(ValueError):
+        graph.sampled_reach(t, roots, 0, 4)
+
+
+def test_graph_size_of_intervals_equals_repeated_rows(spark):
+    rng = random.Random(9)
+    day = [datetime.date(2020, 1, 1) + datetime.timedelta(days=i) for i in range(12)]
+    rows = []
+    for _ in range(120):
+        lo, hi = sorted((rng.randrange(12), rng.randrange(12)))
+        first, last = rng.choice([(day[lo], day[hi]), (day[lo], day[lo]), (None, day[hi]), (day[lo], None), (None, None)])
+        rows.append((f"s{rng.randrange(15)}", "p", f"o{rng.randrange(15)}", first, last))
+    rows += rows[:10] + [("s0", "p", "s0", day[5], day[2])]  # repeats count as edges; an interval that ends first is never valid
+    t = spark.createDataFrame(rows, "subject string, predicate string, object string, first date, last date")
+    got = {r.date: (r.nodes, r.edges) for r in graph.graph_size_of_intervals(t).collect()}
+    want = {}
+    for d in {r[3] for r in rows[:-1] if r[3]}:
+        live = [r for r in rows if (r[3] is None or r[3] <= d) and (r[4] is None or d <= r[4])]
+        want[d] = (len({n for r in live for n in (r[0], r[2])}), len(live))
+    assert got == want
+    assert graph.graph_size_of_intervals(t.limit(0)).count() == 0
