@@ -42,13 +42,18 @@ def cell_radius(res: int) -> float:
     return abs(basis(res)) / SQRT3
 
 
-def hex_axial(lon: Column, lat: Column, res: int) -> tuple[Column, Column]:
-    """Axial coordinates of the cell that holds the point, as two bigint columns."""
+def axial_plane(lon: Column, lat: Column, res: int) -> tuple[Column, Column]:
+    """Point in the axes of the grid, as two doubles; cell centres are the points with whole coordinates."""
     inv = 1 / basis(res)
     re = lon * F.lit(inv.real) - lat * F.lit(inv.imag)
     im = lon * F.lit(inv.imag) + lat * F.lit(inv.real)
     rf = im * F.lit(2.0) / F.lit(SQRT3)
-    qf = re - rf / F.lit(2.0)
+    return re - rf / F.lit(2.0), rf
+
+
+def hex_axial(lon: Column, lat: Column, res: int) -> tuple[Column, Column]:
+    """Axial coordinates of the cell that holds the point, as two bigint columns."""
+    qf, rf = axial_plane(lon, lat, res)
     sf = -qf - rf
     q, r, s = (F.floor(v + F.lit(0.5)) for v in (qf, rf, sf))
     dq, dr, ds = F.abs(q - qf), F.abs(r - rf), F.abs(s - sf)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import geo, hexgrid as hx
@@ -25,50 +25,58 @@ def cells_from_ids(df: DataFrame, col: str = "cell_id", res: int | None = None)
     return base.withColumns({"geom": geo.polygon(hx.hex_ring(at, F.col("q"), F.col("r"))), "lon": lon, "lat": lat})
 
 
+SPAN = 4_096
+
+
+def _pieces(lo: Column, hi: Column) -> Column:
+    """Starts of the stretches of at most SPAN numbers from ``lo`` to ``hi``; none if the range is empty."""
+    return F.when(lo <= hi, F.sequence(lo, hi, F.lit(SPAN)))
+
+
+def _numbers(df: DataFrame, lo: Column, hi: Column, out: str) -> DataFrame:
+    """One row per whole number of each row's range, without ever holding a long range in one array."""
+    cut = df.withColumns({"_lo": lo, "_hi": hi}).withColumn("_at", F.explode(_pieces(F.col("_lo"), F.col("_hi"))))
+    stretch = F.sequence(F.col("_at"), F.least(F.col("_at") + (SPAN - 1), F.col("_hi")))
+    return cut.withColumn(out, F.explode(stretch)).drop("_lo", "_hi", "_at")
+
+
 def hex_cover(polys: DataFrame, res: int, geom: str = "geom") -> DataFrame:
     """Cells whose centre lies inside each polygon, with the polygon's attributes.
 
-    A polygon is walked row by row: one output row per (polygon, grid row) first, so that a continent becomes
-    many small rows spread over tasks before any cell is generated.
+    A sweep over the rows of the grid, in the grid's own axes, where cell centres are whole numbers: each edge gives its
+    crossing with every row it passes, the crossings of a (polygon, row) are sorted, and the cells from an odd crossing
+    to the next are inside (even-odd rule, holes included). The cost is the edges times the rows they pass plus the
+    cells; a polygon is many small rows from the first step on, and no row carries a whole outline.
+
+    Edges hold their lower end, not their upper one, and runs their left end; an edge is always followed upwards, so a
+    centre on an edge that two polygons share belongs to exactly one of them. Rings that are not closed are closed;
+    geometries other than polygons and null ones cover nothing; repeated polygons are covered each on its own.
     """
-    a = hx.basis(res)
-    inv = 1 / a
-    g = F.col(geom)
     rest = [c for c in polys.columns if c != geom]
-    x0, y0, x1, y1 = geo.bounds(g)
-    boxed = polys.select(*rest, geom, x0.alias("_x0"), y0.alias("_y0"), x1.alias("_x1"), y1.alias("_y1"))
-    # range of r over the corners of the bounding box: r is linear in x and y
-    kx, ky = 2 / hx.SQRT3 * inv.imag, 2 / hx.SQRT3 * inv.real
-
-    def low(k, a0, a1):
-        return k * F.col(a0 if k >= 0 else a1)
-
-    def high(k, a0, a1):
-        return k * F.col(a1 if k >= 0 else a0)
-
-    r_lo = F.floor(low(kx, "_x0", "_x1") + low(ky, "_y0", "_y1")).cast("bigint")
-    r_hi = F.ceil(high(kx, "_x0", "_x1") + high(ky, "_y0", "_y1")).cast("bigint")
-    rows = boxed.withColumn("r", F.explode_outer(F.sequence(r_lo, r_hi))).repartition("r")
-    # centres of grid row r lie on a line in direction a; keep the q range where it meets the box
-    cx = F.col("r").cast("double") * (a.real * 0.5 - a.imag * hx.SQRT3 / 2)
-    cy = F.col("r").cast("double") * (a.imag * 0.5 + a.real * hx.SQRT3 / 2)
-    spans = []
-    for base, k, lo, hi in ((cx, a.real, "_x0", "_x1"), (cy, a.imag, "_y0", "_y1")):
-        if abs(k) > abs(a) * 1e-9:
-            s, e = (F.col(lo) - base) / k, (F.col(hi) - base) / k
-            spans.append((F.least(s, e), F.greatest(s, e)))
-    q_lo = F.floor(F.greatest(*[s for s, _ in spans]) if len(spans) > 1 else spans[0][0]).cast("bigint")
-    q_hi = F.ceil(F.least(*[e for _, e in spans]) if len(spans) > 1 else spans[0][1]).cast("bigint")
-    cells = rows.withColumn("q", F.explode_outer(F.when(q_lo <= q_hi, F.sequence(q_lo, q_hi)))).where("q IS NOT NULL")
-    lon, lat = hx.hex_center(res, F.col("q"), F.col("r"))
-    cells = cells.withColumns({"lon": lon, "lat": lat})
-    inside = (
-        F.col("lon").between(F.col("_x0"), F.col("_x1"))
-        & F.col("lat").between(F.col("_y0"), F.col("_y1"))
-        & geo.point_in_polygon(F.col("lon"), F.col("lat"), F.col(geom))
+    stored = cut_lineage(polys.withColumn("_poly", F.monotonically_increasing_id()))
+    rings = stored.where(F.col(geom)["kind"] == "Polygon").select("_poly", F.explode(F.col(geom)["rings"]).alias("ring"))
+    following = F.concat(F.slice("ring", F.lit(2), F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", 1, 1))
+    edges = rings.select("_poly", F.explode(F.arrays_zip(F.col("ring").alias("a"), following.alias("b"))).alias("e"))
+
+    def end(name: str) -> Column:
+        q, r = hx.axial_plane(F.col(f"e.{name}.x"), F.col(f"e.{name}.y"), res)
+        return F.struct(r.alias("r"), q.alias("q"))
+
+    ends = edges.select("_poly", F.array_sort(F.array(end("a"), end("b"))).alias("s")).select(
+        "_poly", F.get("s", F.lit(0)).alias("lower"), F.get("s", F.lit(1)).alias("upper")
     )
-    kept = cells.where(inside)
-    return kept.select(*rest, hx.hex_id(res, F.col("q"), F.col("r")).alias("cell_id"), F.lit(res).alias("res"), "q", "r", "lon", "lat")
+    first, beyond = F.ceil("lower.r").cast("bigint"), F.ceil("upper.r").cast("bigint")
+    slope = (F.col("upper.q") - F.col("lower.q")) / (F.col("upper.r") - F.col("lower.r"))
+    met = _numbers(ends.where("lower.r < upper.r").withColumn("slope", slope), first, beyond - 1, "r")
+    crossings = met.select("_poly", "r", (F.col("lower.q") + (F.col("r") - F.col("lower.r")) * F.col("slope")).alias("x"))
+    row = Window.partitionBy("_poly", "r").orderBy("x")
+    runs = crossings.select("_poly", "r", "x", F.lead("x").over(row).alias("until"), F.row_number().over(row).alias("n"))
+    start, stop = F.ceil("x").cast("bigint"), F.ceil("until").cast("bigint")
+    runs = runs.where((F.col("n") % 2 == 1) & (start < stop)).select("_poly", "r", start.alias("_start"), stop.alias("_stop"))
+    cells = _numbers(runs.join(stored.select("_poly", *rest), "_poly"), F.col("_start"), F.col("_stop") - 1, "q")
+    lon, lat = hx.hex_center(res, F.col("q"), F.col("r"))
+    cell = hx.hex_id(res, F.col("q"), F.col("r"))
+    return cells.select(*rest, cell.alias("cell_id"), F.lit(res).alias("res"), "q", "r", lon.alias("lon"), lat.alias("lat"))
 
 
 def hex_parents(cells: DataFrame) -> DataFrame:

@@ -198,6 +198,33 @@ def hex_cover(spark, sf):
     return grid.hex_cover(boxes, _COVER_RES).select("n_name", "n_regionkey", "cell_id")
 
 
+_OUTLINE_RES = 2
+_ROWS = math.ceil(240 / hx.cell_radius(_OUTLINE_RES))
+
+
+@query(
+    "hex_cover_outlines",
+    f"""WITH {inputs.CUSTOMER_POINTS_SQL},
+    ring AS (SELECT c_nationkey, lon AS x1, lat AS y1,
+        coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS x2, coalesce(lead(lat) OVER w, first_value(lat) OVER w) AS y2
+      FROM customer_points JOIN customer ON osm_id = c_custkey WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)),
+    steps AS (SELECT unnest(range(-{_ROWS}, {_ROWS} + 1)) AS d),
+    cells AS (SELECT a.d AS q, b.d AS r FROM steps a, steps b),
+    placed AS (SELECT * FROM (SELECT *, {center_sql(_OUTLINE_RES)[0]} AS clon, {center_sql(_OUTLINE_RES)[1]} AS clat FROM cells)
+      WHERE abs(clon) <= 181 AND abs(clat) <= 91)
+    SELECT c_nationkey, {id_sql(_OUTLINE_RES)} AS cell_id FROM placed JOIN ring ON (y1 > clat) <> (y2 > clat)
+      AND clon < x1 + (clat - y1) * (x2 - x1) / (y2 - y1)
+    GROUP BY c_nationkey, q, r HAVING count(*) % 2 = 1""",
+)
+def hex_cover_outlines(spark, sf):
+    """Cover of the outline through each nation's customers in key order: many corners, concave, crossing itself."""
+    nation = load(spark, sf, "customer").select(F.col("c_custkey").alias("osm_id"), "c_nationkey")
+    corner = F.struct("osm_id", geo.xy(F.col("lon"), F.col("lat")).alias("p"))
+    rings = inputs.customer_points(spark, sf).join(nation, "osm_id").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(corner)).alias("c"))
+    outlines = rings.select("c_nationkey", geo.polygon(F.transform("c", lambda c: c["p"])).alias("geom"))
+    return grid.hex_cover(outlines, _OUTLINE_RES).select("c_nationkey", "cell_id")
+
+
 # -- topology ---------------------------------------------------------------------------------------------------
 
 TOPO_RES = 2

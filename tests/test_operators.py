@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cellweave.functions import geo, hexgrid as hx
 from cellweave.operators import graph, grid, interpolation as ip, kge, metrics, modelling as md, panel, scale, solver, spatial, triples, vectors
 from cellweave.sources import readers, writers
 
@@ -556,3 +557,47 @@ def test_graph_size_of_intervals_equals_repeated_rows(spark):
         want[d] = (len({n for r in live for n in (r[0], r[2])}), len(live))
     assert got == want
     assert graph.graph_size_of_intervals(t.limit(0)).count() == 0
+
+
+def test_cover_of_concave_outlines_holes_and_shared_sides(spark):
+    def inside(x, y, rings):
+        odd = 0
+        for ring in rings:
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+                odd += (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+        return odd % 2 == 1
+
+    def star(cx, cy, far, near, n):
+        pts = [(cx + (far if i % 2 else near) * math.cos(math.pi * i / n + 0.1), cy + (far if i % 2 else near) * math.sin(math.pi * i / n + 0.1)) for i in range(2 * n)]
+        return [*pts, pts[0]]
+
+    res = 5
+    shapes = {
+        "star": [star(10.03, 20.07, 4.1, 1.3, 60), star(10.03, 20.07, 0.9, 0.5, 7)],
+        "open": [[(-3.1, -2.2), (1.4, -2.9), (0.2, 0.3), (2.2, 2.7)]],
+        "left": [[(30.0, 5.0), (33.3, 4.1), (33.9, 9.2), (30.5, 8.8)]],
+        "right": [[(33.3, 4.1), (38.0, 5.2), (33.9, 9.2)]],
+        "both": [[(30.0, 5.0), (33.3, 4.1), (38.0, 5.2), (33.9, 9.2), (30.5, 8.8)]],
+    }
+    rows = [(n, ("Polygon", [[tuple(p) for p in ring] for ring in rings])) for n, rings in shapes.items()]
+    rows += [rows[1], ("line", ("LineString", [[(0.0, 0.0), (5.0, 5.0), (5.0, 0.0)]])), ("none", None), ("empty", ("Polygon", [])), ("bare", ("Polygon", [[]]))]
+    df = spark.createDataFrame(rows, f"name string, geom {geo.GEOM_TYPE}")
+    got = {}
+    for r in grid.hex_cover(df, res).collect():
+        got.setdefault(r.name, []).append((r.q, r.r))
+    a = hx.basis(res)
+    w = complex(0.5, math.sqrt(3) / 2)
+    for n, rings in shapes.items():
+        xs, ys = [p[0] for ring in rings for p in ring], [p[1] for ring in rings for p in ring]
+        corners = [complex(x, y) / a for x in (min(xs), max(xs)) for y in (min(ys), max(ys))]
+        rs = [z.imag * 2 / math.sqrt(3) for z in corners]
+        qs = [z.real - r / 2 for z, r in zip(corners, rs)]
+        want = []
+        for q in range(math.floor(min(qs)) - 1, math.ceil(max(qs)) + 2):
+            for r in range(math.floor(min(rs)) - 1, math.ceil(max(rs)) + 2):
+                c = a * (q + r * w)
+                if inside(c.real, c.imag, rings):
+                    want.append((q, r))
+        assert want and sorted(got[n]) == sorted(want * (2 if n == "open" else 1)), n
+    assert set(got) == set(shapes)
+    assert sorted(got["left"] + got["right"]) == sorted(got["both"])  # a shared side splits its cells, none twice
