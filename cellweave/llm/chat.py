@@ -6,9 +6,10 @@ of an inner prefix of another one is contained in that one; an anti-join keeps t
 conversations the one with the smallest id. Only these are rendered.
 
 The rolling hash is a pair of sums over the turns, each of a 64-bit hash of (place in the conversation, role, text).
-Sums add up over blocks of turns: a conversation is cut into blocks of its turn numbers, a window runs inside a block,
-and another over the block totals, so that a conversation with a third of all rows is spread over many tasks. Rendered
-text comes in segments, one per block of turns, for the same reason; a usual conversation is one segment.
+Places come from one range sort of all turns, and a conversation is cut into blocks of a fixed number of places, whatever
+its turn numbers are. Sums add up over blocks: a window runs inside a block, and another over the block totals, so that a
+conversation with a third of all rows is spread over many tasks. Rendered text comes in segments, one per block, for the
+same reason; a usual conversation is one segment.
 
 Defined results: rows that repeat exactly are one turn; different rows with the same turn number are turns in the order
 of role and text hash; a null turn comes first; a null role is rendered as ``unknown``, a null text as empty, and both
@@ -22,31 +23,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import load
+from cellweave.operators.scale import global_row_number
 from cellweave.session import cut_lineage
 
 BLOCK_TURNS = 1_024
 OPEN, CLOSE = "<|{role}|>\n", "\n<|end|>\n"
 
 
+def _text_key() -> Column:
+    return F.struct(F.xxhash64("text", F.lit(1)).alias("a"), F.xxhash64(F.lit(2), "text").alias("b"), F.col("text").isNull().alias("n"))
+
+
 def rolling_hashes(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """(conv_id, turn, role, text_key, block, place, h1, h2): h1 and h2 identify all turns up to this one."""
-    key = F.struct(F.xxhash64("text", F.lit(1)).alias("a"), F.xxhash64(F.lit(2), "text").alias("b"), F.col("text").isNull().alias("n"))
-    distinct = (
-        turns.select("conv_id", "turn", "role", key.alias("text_key"))
-        .distinct()
-        .withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-1)).cast("bigint"))
-    )
-    order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text_key")]
-    inside = Window.partitionBy("conv_id", "block").orderBy(*order)
-    numbered = distinct.withColumn("in_block", F.row_number().over(inside))
-    over = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = distinct.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
-    first = counts.select(
-        F.struct("conv_id").alias("conv"), "block", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("earlier")
-    )
-    placed = numbered.withColumn("conv", F.struct("conv_id")).join(first, ["conv", "block"]).withColumn(
-        "place", F.col("earlier") + F.col("in_block")
-    )
+    distinct = turns.select("conv_id", "turn", "role", _text_key().alias("text_key")).distinct()
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text_key.a", "text_key.b", "text_key.n")]
+    ranked = global_row_number(distinct, order, "rank").withColumn("conv", F.struct("conv_id"))
+    first = ranked.groupBy("conv").agg(F.min("rank").alias("first"))
+    placed = ranked.join(first, "conv").withColumn("place", F.col("rank") - F.col("first") + 1).drop("rank", "first")
+    placed = placed.withColumn("block", F.floor((F.col("place") - 1) / F.lit(block_turns)).cast("bigint"))
     of_turn = [
         F.xxhash64(F.lit(seed), "place", F.coalesce("role", F.lit("")), F.col("role").isNull(), "text_key").cast("decimal(38,0)")
         for seed in ("first", "second")
@@ -98,11 +93,12 @@ def format_chats(
     )
     hashes = cut_lineage(rolling_hashes(turns, block_turns))
     kept = maximal_conversations(hashes).select(F.struct("conv_id").alias("conv"))
-    block = F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-1)).cast("bigint")
-    held = turns.withColumn("conv", F.struct("conv_id")).join(kept, "conv", "left_semi").select("conv", block.alias("block"), "turn", "role", "text")
-    key = F.struct(F.xxhash64("text", F.lit(1)).alias("a"), F.xxhash64(F.lit(2), "text").alias("b"), F.col("text").isNull().alias("n"))
-    item = F.struct("turn", "role", key.alias("text_key"), render_turn(F.col("role"), F.col("text")).alias("chat"))
-    segments = held.distinct().groupBy("conv", "block").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    turn_key = F.struct("conv_id", "turn", "role", "text_key").alias("key")
+    places = hashes.select(F.struct("conv_id").alias("conv"), turn_key, "block", "place").join(kept, "conv", "left_semi")
+    texts = turns.withColumn("text_key", _text_key()).select(turn_key, render_turn(F.col("role"), F.col("text")).alias("chat"))
+    # repeated rows have one place and one text: the set holds them once, in each task already
+    held = texts.join(places, "key").groupBy("conv", "block")
+    segments = held.agg(F.array_sort(F.collect_set(F.struct("place", "chat"))).alias("items"))
     first = Window.partitionBy("conv").orderBy("block")
     return segments.select(
         F.col("conv.conv_id").alias("conv_id"),

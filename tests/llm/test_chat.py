@@ -62,3 +62,19 @@ def test_empty_table_clashing_names_and_no_python(spark):
     out = C.format_chats(df)
     assert [tuple(r) for r in out.collect()] == [(1, 1, 1, "<|u|>\nx\n<|end|>\n")]
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_hold_a_fixed_number_of_turns_whatever_their_numbers(spark):
+    rows = [(None, 5, "u", f"t{i:03d}") for i in range(90)] + [(None, 5, "u", "t000")] * 40 + [(2, None, "u", f"t{i}") for i in range(30)]
+    rows += [(3, 10_000 * i, "a", f"s{i}") for i in range(25)]
+    got = C.format_chats(spark.createDataFrame(rows, SCHEMA), block_turns=8).collect()
+    assert max(r.n_turns for r in got) == 8
+    turns = defaultdict(int)
+    for r in got:
+        turns[r.conv_id] += r.n_turns
+    assert turns == {None: 90, 2: 30, 3: 25}
+    chats = formatted(spark, rows, 8)
+    assert chats[3] == brute(rows)[3]
+    assert all(chats[c] == formatted(spark, rows, 1024)[c] for c in chats)
+    # turns with one number have no order but that of their hashes
+    assert {x.strip() for x in chats[None].split("<|end|>")} == {x.strip() for x in brute(rows)[None].split("<|end|>")}
