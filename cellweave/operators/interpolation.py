@@ -31,7 +31,7 @@ POWERS = [0.1, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0]
 # Trend terms; a formula is any combination of them, or the constant.
 TREND_TERMS = {"LONGITUDE + LATITUDE": ["lon", "lat"], "ELEVATION": ["elevation"], "COASTDISTANCE": ["coast"]}
 
-# A date and variable with so many stations is solved densely in one task; larger ones by conjugate gradients over blocks.
+# A date and variable with so many stations is solved densely in one task; larger ones by elimination over tiles.
 DENSE_STATIONS = 2000
 
 # Random signs that estimate the diagonal of a large inverse; each colours every so-many-th station along the quad order.
@@ -305,7 +305,7 @@ def evaluate(weights: DataFrame, cells: DataFrame, terms: list[str]) -> DataFram
 def krige(stations: DataFrame, cells: DataFrame, terms: list[str] = ()) -> DataFrame:
     """Kriging with constant or linear trend for any number of stations; predictions distributed.
 
-    Up to ``DENSE_STATIONS`` stations of a date and variable are solved in one task, more by conjugate gradients.
+    Up to ``DENSE_STATIONS`` stations of a date and variable are solved in one task, more by elimination over tiles.
     """
     terms = list(terms)
 
@@ -404,7 +404,7 @@ def _fitted(blocks: DataFrame, keys: list[str], k: int) -> DataFrame:
     return cut_lineage(blocks.join(_grouped(facts, keys, model, "model string, nugget double, psill double, rng double, flat boolean"), keys))
 
 
-def _solved(blocks: DataFrame, keys: list[str], k: int, probes: int = 0, rounds: int = 0, tolerance: float = 0.0) -> DataFrame:
+def _solved(blocks: DataFrame, keys: list[str], k: int, probes: int = 0) -> DataFrame:
     """Blocks with the weights ``w`` of their stations and the trend ``beta``; with probes also the estimated ``diagonal``."""
     sides = 1 + k + probes
 
@@ -433,7 +433,7 @@ def _solved(blocks: DataFrame, keys: list[str], k: int, probes: int = 0, rounds:
         w = np.zeros(len(x)) if r.get("flat") else g[:, 0]
         return {"w": np.ascontiguousarray(w).tobytes(), "diagonal": np.ascontiguousarray(diagonal).tobytes(), "beta": [float(b) for b in beta]}
 
-    done = solver.solve(cut_lineage(solver._mapped(blocks, right, "rhs binary")), keys, sides, rounds, tolerance)
+    done = solver.solve(cut_lineage(solver._mapped(blocks, right, "rhs binary")), keys, sides)
     sums = solver.group_sum(solver._mapped(done, onto, "dots array<double>"), keys, "dots", "t")
     return cut_lineage(solver._mapped(done.join(sums, keys), finish, "w binary, diagonal binary, beta array<double>").drop("x", "rhs", "t"))
 
@@ -534,7 +534,7 @@ def indicator_krige(stations: DataFrame, cells: DataFrame) -> DataFrame:
 def tps(stations: DataFrame, cells: DataFrame) -> DataFrame:
     """Thin-plate spline, smoothing by generalised cross-validation; fewer than five stations are padded.
 
-    Groups larger than ``DENSE_STATIONS`` try all smoothings in the same rounds of conjugate gradients, with the trace of
+    Groups larger than ``DENSE_STATIONS`` try all smoothings in the same rounds of elimination, with the trace of
     the smoother estimated from ``PROBES`` fixed random signs.
     """
 
@@ -593,7 +593,7 @@ def _large_spline(stations: DataFrame) -> DataFrame:
     bent = F.array_max("smoothing") / F.col("n") / 100
     dealt = dealt.join(tried.join(facts.select(*KEYS, "n"), KEYS).select(*KEYS, bent.alias("psill")), KEYS)
     dealt = dealt.withColumns({"model": F.lit("Tps"), "rng": F.lit(1.0), "flat": F.lit(False), "beta": F.array().cast("array<double>")})
-    done = _solved(dealt, keys, k, PROBES, tolerance=1e-8)
+    done = _solved(dealt, keys, k, PROBES)
 
     def facts_of(r: dict) -> dict:
         w = _doubles(r["w"], -1)
