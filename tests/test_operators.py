@@ -363,7 +363,7 @@ def test_large_groups_agree_with_dense_ones(spark, monkeypatch):
     assert got == pytest.approx(want, abs=1e-6) and len(got) == 120
 
 
-@pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="takes more than four minutes")
+@pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="takes more than a minute")
 def test_more_than_four_thousand_stations(spark, monkeypatch):
     monkeypatch.setattr(solver, "BLOCK", 1050)
     rng = np.random.default_rng(3)
@@ -375,11 +375,13 @@ def test_more_than_four_thousand_stations(spark, monkeypatch):
     got = ip.krige(spark.createDataFrame(pdf), spark.createDataFrame(cells)).toPandas().set_index("cell_id")["value"][cells["cell_id"]].to_numpy()
     h = ip._angles(pdf)
     name, nugget, psill, a = ip._fit_variogram(h, z - z.mean())
+    # a Gaussian without nugget: singular up to rounding, so the solution is the one with the stated share on the diagonal
     full = np.ones((n + 1, n + 1))
-    full[n, n], full[:n, :n] = 0.0, solver.kernel(name, h, nugget, psill, a)
+    full[n, n], full[:n, :n] = 0.0, solver.kernel(name, h, nugget, psill, a) + solver.JITTER * (nugget + psill) * np.eye(n)
     w = np.linalg.solve(full, np.append(z, 0.0))
     both = ip._angles(pd.concat([cells, pdf])[["lon", "lat"]])[:40, 40:]
     assert np.allclose(got, solver.kernel(name, both, nugget, psill, a) @ w[:n] + w[n], atol=1e-5)
+    assert np.abs(got - np.sin(cells["lon"] / 7) - cells["lat"] / 20).max() < 0.1
 
 
 def test_trend_choice_and_fallback(spark):
