@@ -542,6 +542,21 @@ def test_sampled_reach_equals_exhaustive_search(spark):
         graph.sampled_reach(t, roots, 0, 4)
 
 
+def test_searches_pass_on_new_entries_only(spark, monkeypatch):
+    """A chain beside many edges that lead nowhere: rounds store what is new, not all lists again."""
+    rows = [("a", "p", "b"), ("b", "p", "c"), ("c", "p", "d"), ("d", "p", "d")] + [(f"i{n}", "q", f"t{n % 7}") for n in range(400)]
+    t = spark.createDataFrame(rows, "subject string, predicate string, object string")
+    stored, store = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, *by: stored.append(store(df, *by)) or stored[-1])
+    monkeypatch.setattr(graph, "release", lambda df: None)
+    chain = {("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("b", "b", 0), ("b", "c", 1), ("b", "d", 2), ("c", "c", 0), ("c", "d", 1), ("d", "d", 0)}
+    for search in (lambda: graph.bfs_paths(t, None, 4), lambda: graph.sampled_reach(t, None, 4, 500), lambda: graph.bfs_paths(t, graph.walk_roots(t), 4)):
+        stored.clear()
+        got = {(r.root, r.node, r.depth) for r in search().collect() if r.root[0] != "i"}
+        assert got == chain
+        assert max(s.count() for s in stored) == 403
+
+
 def test_graph_size_of_intervals_equals_repeated_rows(spark):
     rng = random.Random(9)
     day = [datetime.date(2020, 1, 1) + datetime.timedelta(days=i) for i in range(12)]
