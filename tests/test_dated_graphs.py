@@ -13,7 +13,7 @@ def _rows(df):
 def test_undated_triples_count_on_every_date(spark):
     dated = spark.createDataFrame(
         [("a", "p", "b", "2020-01-01"), ("a", "p", "b", "2020-02-01"), ("c", "p", "x", "2020-02-01"), (None, "p", "x", "2020-02-01"),
-         ("a", "p", "z", None)], "subject string, predicate string, object string, date string",
+         ("a", "p", "x", None), ("b", "p", "y", "2019-01-01")], "subject string, predicate string, object string, date string",
     ).withColumn("date", F.col("date").cast("date"))
     undated = spark.createDataFrame([("x", "p", "y"), ("x", "q", "y"), ("b", "p", None)], "subject string, predicate string, object string")
     days = spark.createDataFrame([("2020-01-01",), ("2020-02-01",), ("2020-02-01",), ("2020-03-01",), (None,)], "date string").select(F.col("date").cast("date"))
