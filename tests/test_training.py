@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cellweave.operators import kge
+from cellweave.operators import kge, vectors
 
 
 def _ring(spark, n):
@@ -43,3 +43,12 @@ def test_a_hub_is_spread_and_its_leaves_are_not(spark):
         tasks.setdefault(r.h, set()).add(r.task)
         tasks.setdefault(r.t, set()).add(r.task)
     assert all(len(tasks[i]) == 1 for i in range(200)) and len(tasks[1000]) > 4
+
+
+def test_word_pairs_are_generated_without_nested_functions(spark):
+    walks = spark.createDataFrame([(["a", "b", "a", "c"],), (["x"],), ([],), (None,), (["d", None],)], "walk array<string>")
+    near = vectors.token_pairs(walks, 1)
+    assert "lambda" not in near._jdf.queryExecution().analyzed().toString()
+    got = {(r.center, r.context): r.w for r in near.collect()}
+    assert got == {("a", "b"): 2, ("b", "a"): 2, ("a", "c"): 1, ("c", "a"): 1, ("d", None): 1, (None, "d"): 1}
+    assert {(r.center, r.context): r.w for r in vectors.token_pairs(walks, 5).where("center = 'a' AND context = 'a'").collect()} == {("a", "a"): 2}
