@@ -1,9 +1,10 @@
 """Steps whose work or memory must not gather in one task as tables grow."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import geo
-from cellweave.operators import grid, spatial
+from cellweave.operators import grid, panel, spatial
 
 
 def test_candidate_pairs_of_one_file_are_dealt(spark, tmp_path):
@@ -16,3 +17,12 @@ def test_candidate_pairs_of_one_file_are_dealt(spark, tmp_path):
     rows = pairs.groupBy(F.spark_partition_id()).count().collect()
     assert len(rows) > 4
     assert max(r["count"] for r in rows) < 0.5 * sum(r["count"] for r in rows)
+
+
+def test_later_rounds_of_class_breaks_read_fewer_values(spark, monkeypatch):
+    df = spark.range(20_000).select((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 100).alias("v"))
+    whole = panel.natural_breaks(df, "v", 4, cells=100_000)
+    read, split = [], panel._split_steps
+    monkeypatch.setattr(panel, "_split_steps", lambda v, *rest: read.append(v.count()) or split(v, *rest))
+    assert panel.natural_breaks(df, "v", 4, cells=64) == pytest.approx(whole)
+    assert read[0] == 20_000 and read[-1] < 5_000
