@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import text as tx
-from cellweave.operators.triples import _emit, min_tags, triple
+from cellweave.operators.scale import tasks_for
+from cellweave.operators.triples import TRIPLE, _emit, min_tags, triple
+
+#: Features that one task unfolds on average.
+FEATURES_PER_TASK = 50_000
 
 # Namespaces of the generated graph.
 RESOURCE = "http://www.worldkg.org/resource/"
@@ -28,8 +32,12 @@ def ontology_triples(features: DataFrame, ontology: DataFrame, key_list: DataFra
     A key of the ontology yields a class type when its value is listed, and a flag type when the value is
     ``Yes``; other keys become a link, a label, an outside reference, or an attribute when allow-listed. Both
     dimensions join by key; each is de-duplicated first, so features never fan out.
+
+    A feature unfolds to many long triples. Features are dealt into partitions of bounded size before that, and so are
+    the triples before they become a set: no task holds more of them as the table grows.
     """
-    nodes = min_tags(features).select("osm_id", "lon", "lat", "all_tags")
+    tasks = tasks_for(features, FEATURES_PER_TASK)
+    nodes = min_tags(features).select("osm_id", "lon", "lat", "all_tags").repartition(tasks, "osm_id")
     s = tx.iri(RESOURCE, F.col("osm_id"))
     geo_node = tx.iri(RESOURCE + "geo", F.col("osm_id"))
     wkt = F.concat(F.lit("Point("), F.col("lon").cast("string"), F.lit(" "), F.col("lat").cast("string"), F.lit(")"))
@@ -65,7 +73,7 @@ def ontology_triples(features: DataFrame, ontology: DataFrame, key_list: DataFra
         .otherwise(none)
     )
     made = rows.select(F.explode_outer(F.when(F.col("known"), mapped).otherwise(free)).alias("t"))
-    return fixed.unionByName(made.where("t IS NOT NULL").select("t.*")).distinct()
+    return fixed.unionByName(made.where("t IS NOT NULL").select("t.*")).repartition(tasks, *TRIPLE).distinct()
 
 
 def collect_values(df: DataFrame, key: str, value: str) -> DataFrame:

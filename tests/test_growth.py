@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import geo
-from cellweave.operators import grid, panel, spatial
+from cellweave.operators import grid, ontology, panel, spatial
 
 
 def test_candidate_pairs_of_one_file_are_dealt(spark, tmp_path):
@@ -26,3 +26,14 @@ def test_later_rounds_of_class_breaks_read_fewer_values(spark, monkeypatch):
     monkeypatch.setattr(panel, "_split_steps", lambda v, *rest: read.append(v.count()) or split(v, *rest))
     assert panel.natural_breaks(df, "v", 4, cells=64) == pytest.approx(whole)
     assert read[0] == 20_000 and read[-1] < 5_000
+
+
+def test_mapped_triples_are_made_in_bounded_partitions(spark, monkeypatch):
+    monkeypatch.setattr(ontology, "FEATURES_PER_TASK", 10, raising=False)
+    tags = F.create_map(F.lit("name"), F.col("id").cast("string"), F.lit("kind"), F.lit("Yes"))
+    features = spark.range(400).coalesce(1).select(F.col("id").alias("osm_id"), F.col("id").alias("lon"), F.col("id").alias("lat"), tags.alias("all_tags"))
+    onto = spark.createDataFrame([("kind", "a", "A"), ("kind", "a", "B")], "key string, value string, appendedClass string")
+    keys = spark.createDataFrame([("none",)], "key string")
+    out = ontology.ontology_triples(features.unionByName(features), onto, keys)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 6 * 400 and len(sizes) > 60 and max(sizes) < 200
