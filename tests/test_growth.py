@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import geo
-from cellweave.operators import grid, ontology, panel, spatial
+from cellweave.operators import grid, kge, metrics, ontology, panel, scale, spatial
 
 
 def test_candidate_pairs_of_one_file_are_dealt(spark, tmp_path):
@@ -37,3 +37,36 @@ def test_mapped_triples_are_made_in_bounded_partitions(spark, monkeypatch):
     out = ontology.ontology_triples(features.unionByName(features), onto, keys)
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 6 * 400 and len(sizes) > 60 and max(sizes) < 200
+
+
+def test_ranked_partitions_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(scale, "TASK_ROWS", 50)
+    df = spark.range(2_000).select(F.pmod(F.xxhash64("id"), F.lit(1_000)).alias("a"), "id", F.col("id").cast("string").alias("label"))
+    folds = metrics.time_folds(df, ["a", "id"], 4)
+    assert folds.select(F.input_file_name()).distinct().count() > 30
+    assert [r["count"] for r in folds.groupBy("fold").count().orderBy("fold").collect()] == [400] * 5
+    index = scale.distinct_index(df.select("label").unionByName(df.select("label")), [F.col("label")])
+    assert index.select(F.input_file_name()).distinct().count() > 30
+    assert [r["id"] for r in index.orderBy("label").collect()] == list(range(2_000))
+
+
+def test_triples_are_made_once_for_the_split_and_twice_for_the_ids(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    rows = [(f"s{i % 70}", f"p{i % 3}", f"o{i}") for i in range(300)] + [(None, "p0", "o1")]
+    df = spark.createDataFrame(rows, "subject string, predicate string, object string").mapInPandas(count, "subject string, predicate string, object string")
+    kge.split_triples(df).groupBy("part").count().collect()
+    assert made.value == len(rows)
+    coded, entities, relations = kge.encode_triples(df)
+    assert made.value <= 2 * len(rows)
+    assert coded.count() == 300
+    assert made.value <= 3 * len(rows)
+    labels = sorted({r[0] for r in rows if r[0]} | {r[2] for r in rows})
+    # null sorts first, as an entity without triples
+    assert [(r["label"], r["id"]) for r in entities.orderBy("id").collect()] == [(None, 0), *[(n, i + 1) for i, n in enumerate(labels)]]
+    assert [r["label"] for r in relations.orderBy("id").collect()] == ["p0", "p1", "p2"]
