@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import geo
-from cellweave.operators import grid, kge, metrics, ontology, panel, scale, spatial
+from cellweave.operators import grid, kge, metrics, modelling, ontology, panel, scale, spatial
 
 
 def test_candidate_pairs_of_one_file_are_dealt(spark, tmp_path):
@@ -70,3 +70,20 @@ def test_triples_are_made_once_for_the_split_and_twice_for_the_ids(spark):
     # null sorts first, as an entity without triples
     assert [(r["label"], r["id"]) for r in entities.orderBy("id").collect()] == [(None, 0), *[(n, i + 1) for i, n in enumerate(labels)]]
     assert [r["label"] for r in relations.orderBy("id").collect()] == ["p0", "p1", "p2"]
+
+
+def test_training_rows_lie_in_bounded_blocks_and_are_scored_once(spark, monkeypatch):
+    monkeypatch.setattr(scale, "TASK_ROWS", 100)
+    seen = []
+    fit = modelling.GBTRegressor.fit
+    monkeypatch.setattr(modelling.GBTRegressor, "fit", lambda self, df: seen.append(df) or fit(self, df))
+    df = spark.range(1_000).coalesce(1).select((F.col("id") % 7).alias("a"), (F.col("id") % 7 + F.col("id") % 3).cast("double").alias("y"))
+    train, _ = modelling.preprocess(df, df, ["a"], [])
+    model = modelling.fit_regressor(train, "y", maxIter=2, maxDepth=2)
+    assert max(r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()) <= 110
+    scored = spark.sparkContext.accumulator(0)
+    add = F.udf(lambda v: scored.add(1) or v, "double").asNondeterministic()
+    pred = model.transform(train)
+    out = modelling.evaluate(pred.withColumn("prediction", add("prediction")), "regression", "y").first()
+    assert scored.value == 1_000
+    assert out["mae"] == pytest.approx(metrics.regression_metrics(pred, "y", "prediction").first()["mae"])
