@@ -52,3 +52,30 @@ def test_word_pairs_are_generated_without_nested_functions(spark):
     got = {(r.center, r.context): r.w for r in near.collect()}
     assert got == {("a", "b"): 2, ("b", "a"): 2, ("a", "c"): 1, ("c", "a"): 1, ("d", None): 1, (None, "d"): 1}
     assert {(r.center, r.context): r.w for r in vectors.token_pairs(walks, 5).where("center = 'a' AND context = 'a'").collect()} == {("a", "a"): 2}
+
+
+@pytest.mark.parametrize("model", ["transe", "complex", "skipgram"])
+def test_a_step_moves_by_the_weighted_mean_of_the_slopes(model):
+    rng = np.random.default_rng(3)
+    width, size, half = 6, 40, 17
+    ent, rel = rng.uniform(-0.4, 0.4, (12, width)), rng.uniform(-0.4, 0.4, (3, width))
+    h, t, n, r = (rng.integers(0, k, size) for k in (12, 12, 12, 3))
+    w, head = rng.uniform(0.5, 2, size), np.arange(size) < half
+    if model == "skipgram":
+        head[:] = False
+    loss, gh, gr, gt, gn = kge._slopes(model, ent[h], rel[r], ent[t], ent[n], w, head)
+    want, weight = np.zeros_like(ent), np.zeros(12)
+    for index, grads in ((h, gh), (t, gt), (n, gn)):
+        np.add.at(want, index, grads)
+        np.add.at(weight, index, w)
+    turn, used = np.zeros_like(rel), np.bincount(r, w, 3)
+    np.add.at(turn, r, gr)
+    want, turn = ent - 0.1 * want / np.maximum(weight, 1e-9)[:, None], rel - 0.1 * turn / used[:, None]
+    tables = [ent, rel]
+    if model == "complex":
+        tables = [x[:, :3] + 1j * x[:, 3:] for x in tables]
+    got = kge._STEP[model](*tables, h, r, t, n, w, half, 0.1)
+    if model == "complex":
+        tables = [np.hstack([x.real, x.imag]) for x in tables]
+    assert got == pytest.approx(loss) and tables[0] == pytest.approx(want)
+    assert model == "skipgram" or tables[1] == pytest.approx(turn)
