@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellweave.operators import kge, vectors
 
@@ -79,3 +80,21 @@ def test_a_step_moves_by_the_weighted_mean_of_the_slopes(model):
         tables = [np.hstack([x.real, x.imag]) for x in tables]
     assert got == pytest.approx(loss) and tables[0] == pytest.approx(want)
     assert model == "skipgram" or tables[1] == pytest.approx(turn)
+
+
+def test_word_pairs_are_shuffled_in_one_direction_only(spark, monkeypatch):
+    rows = [(["a", None, "a", None, "c", "b"],), (["c"],), (["b", "a"],)]
+    walks = spark.createDataFrame(rows, "walk array<string>")
+    for window in (0, 1, 2, 9):
+        want = {}
+        for (walk,) in rows:
+            for i, x in enumerate(walk):
+                for j in range(max(0, i - window), min(len(walk), i + window + 1)):
+                    if i != j:
+                        want[x, walk[j]] = want.get((x, walk[j]), 0) + 1
+        near = vectors.token_pairs(walks, window)
+        assert {(r.center, r.context): r.w for r in near.collect()} == want and near.count() == len(want)
+    edges = spark.range(500).select(F.array(F.concat(F.lit("s"), "id"), F.lit("p"), F.concat(F.lit("o"), "id")).alias("walk"))
+    counted, both = [], vectors._both_directions
+    monkeypatch.setattr(vectors, "_both_directions", lambda once, by: counted.append(once.count()) or both(once, by))
+    assert vectors.token_pairs(edges).count() == 3_000 and counted == [1_500]
