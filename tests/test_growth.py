@@ -87,3 +87,14 @@ def test_training_rows_lie_in_bounded_blocks_and_are_scored_once(spark, monkeypa
     out = modelling.evaluate(pred.withColumn("prediction", add("prediction")), "regression", "y").first()
     assert scored.value == 1_000
     assert out["mae"] == pytest.approx(metrics.regression_metrics(pred, "y", "prediction").first()["mae"])
+
+
+def test_the_search_tries_all_trials_of_the_whole_ranges(spark, sf_dir, monkeypatch):
+    from cellweave.plans import model_queries
+
+    tried = []
+    monkeypatch.setattr(modelling, "cv_score", lambda df, label, params, folds: tried.append((params, folds, df.rdd.getNumPartitions())) or 0.0)
+    assert model_queries.param_search(spark, sf_dir).count() == 1
+    assert len(tried) == 50 and {folds for _, folds, _ in tried} == {4} and {n for *_, n in tried} == {1}
+    assert max(p["maxDepth"] for p, *_ in tried) > 20 and max(p["maxIter"] for p, *_ in tried) > 800
+    assert all(p["minInfoGain"] > 0 for p, *_ in tried)
