@@ -98,3 +98,16 @@ def test_word_pairs_are_shuffled_in_one_direction_only(spark, monkeypatch):
     counted, both = [], vectors._both_directions
     monkeypatch.setattr(vectors, "_both_directions", lambda once, by: counted.append(once.count()) or both(once, by))
     assert vectors.token_pairs(edges).count() == 3_000 and counted == [1_500]
+
+
+def test_start_vectors_are_not_stored(spark, monkeypatch):
+    stored, keep = [], kge.cut_lineage
+    monkeypatch.setattr(kge, "cut_lineage", lambda df, *a: stored.append("vec" in df.columns) or keep(df, *a))
+    triples, entities, relations = _ring(spark, 12)
+    apart = spark.range(12, 15)
+    known = spark.createDataFrame([(3, [0.5] * 4), (14, [0.25] * 4)], "id bigint, vec array<double>")
+    ent, rel, losses = kge.train(triples, entities.unionByName(apart), relations, "transe", 4, 5, start=known)
+    assert len(losses) == 5 and sum(stored) == 3 + 1  # the rounds and the result
+    got, start = ({r.id: list(r.vec) for r in x.collect()} for x in (ent, kge._start(apart, 4, 14)))
+    assert set(got) == set(range(15)) and got[14] == [0.25] * 4 and rel.count() == 2
+    assert got[12] == pytest.approx(start[12], abs=1e-6) and got[13] == pytest.approx(start[13], abs=1e-6)
